@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import decontaminate
 from .licenses import scan_licenses, template_bigrams
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
 from .simhash import near_duplicates
+from .substring import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,7 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op6_mix_sources, op9_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_decontaminate, op6_mix_sources, op9_simhash, op10_line_dedup)}
 
 
 def _quoted(text: str) -> str:
@@ -77,4 +90,28 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last_id IS NOT NULL AND doc
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (last_id IS NOT NULL AND doc_id < last_id)), '')) AS kept_sha256
 FROM k LEFT JOIN h USING (key) GROUP BY doc_id"""
 
-ORACLE_SQL = {"op1_license_scan": _op1_sql(), "op6_mix_sources": _OP6_SQL, "op10_line_dedup": _OP10_SQL}
+_OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS s FROM d)),
+f AS (SELECT h, min(doc_id) AS first_id FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, s + k AS p FROM (SELECT s.doc_id, s.s, unnest(range(0, 50)) AS k FROM s JOIN f USING (h) WHERE s.doc_id > f.first_id)),
+x AS (SELECT DISTINCT doc_id, p FROM g),
+e AS (SELECT doc_id, p, w[p] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d)),
+k AS (SELECT e.doc_id, count(x.p) AS n_removed, string_agg(e.word, ' ' ORDER BY e.p) FILTER (x.p IS NULL) AS kept FROM e LEFT JOIN x ON e.doc_id = x.doc_id AND e.p = x.p GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS g
+      FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0))),
+g AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS g
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM t))),
+h AS (SELECT g.doc_id, g.s, g.n, t.item_id FROM g JOIN t ON g.n = t.n AND g.g = t.g),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+ORACLE_SQL = {"op2_substring_dedup": _OP2_SQL, "op4_decontaminate": _OP4_SQL, "op1_license_scan": _op1_sql(), "op6_mix_sources": _OP6_SQL, "op10_line_dedup": _OP10_SQL}
