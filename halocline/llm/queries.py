@@ -11,6 +11,8 @@ from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .topk import exact_top_k
+from .warc import archive_pages, read_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +28,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, path = archive_pages(table(spark, sf_dir, "pages"))
+    page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
+    found = read_records(index, path)
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,7 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_decontaminate, op6_mix_sources, op9_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op9_simhash, op10_line_dedup)}
 
 
 def _quoted(text: str) -> str:
@@ -100,6 +113,21 @@ e AS (SELECT doc_id, p, w[p] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)
 k AS (SELECT e.doc_id, count(x.p) AS n_removed, string_agg(e.word, ' ' ORDER BY e.p) FILTER (x.p IS NULL) AS kept FROM e LEFT JOIN x ON e.doc_id = x.doc_id AND e.p = x.p GROUP BY e.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
+_OP3_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p) WHERE rank <= 5"""
+
+_BIT = lambda k: f"CAST(substr(bits, CAST(5 * i + {k} AS BIGINT), 1) AS INTEGER)"
+_OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits, html FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * {_BIT(1)} + 8 * {_BIT(2)} + 4 * {_BIT(3)} + 2 * {_BIT(4)} + {_BIT(5)}, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -114,4 +142,4 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), '
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
-ORACLE_SQL = {"op2_substring_dedup": _OP2_SQL, "op4_decontaminate": _OP4_SQL, "op1_license_scan": _op1_sql(), "op6_mix_sources": _OP6_SQL, "op10_line_dedup": _OP10_SQL}
+ORACLE_SQL = {"op2_substring_dedup": _OP2_SQL, "op3_exact_top_k": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op5_warc": _OP5_SQL, "op1_license_scan": _op1_sql(), "op6_mix_sources": _OP6_SQL, "op10_line_dedup": _OP10_SQL}
