@@ -12,6 +12,7 @@ from .mixing import mix_to_weights
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .topk import exact_top_k
+from .toxicity import score_toxicity
 from .warc import archive_pages, read_records
 
 
@@ -49,6 +50,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op9_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op9_simhash, op10_line_dedup)}
 
 
 def _quoted(text: str) -> str:
