@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import decontaminate
+from .language_model import score_documents
 from .licenses import scan_licenses, template_bigrams
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
@@ -54,6 +55,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op9_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op8_language_model, op9_simhash, op10_line_dedup)}
 
 
 def _quoted(text: str) -> str:
