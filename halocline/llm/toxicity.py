@@ -21,8 +21,8 @@ MAX_FEATURES = 5_000
 #: A feature must occur in so many toxic documents, in such a share of them, and so much more often there than in the others.
 MIN_DOCS = 5
 MIN_SHARE = 0.005
-MIN_RATIO = 20.0
-PREFIXES = (3, 4, 5, 6)
+MIN_RATIO = 8.0
+PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 
 
