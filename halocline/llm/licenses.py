@@ -66,14 +66,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     t = threshold
     grams = template_bigrams(templates)
     table = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, v)).alias("grams"), F.lit(len(v)).alias("n")) for k, v in grams.items() if v])
-    least = min(map(len, grams.values())) * t / (2 - t)
+    least = min(map(len, grams.values())) * t / (2 - t) - 1e-6
     lines = F.split("text", "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.col("text")), lines)).otherwise(F.concat(F.array(F.lit(None).cast("string")), lines))
     each = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(units).alias("line", "unit")).where(F.octet_length("unit") > 3)
     words = each.select("doc_id", "line", F.explode(F.array(F.split(_normalised(F.col("unit")), " "))).alias("w")).where(F.size("w") > least)
     pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     sets = words.select("doc_id", "line", F.explode(F.array(pairs)).alias("a")).withColumn("na", F.size("a"))
-    low, high = F.col("na") * (t / (2 - t)), F.col("na") * ((2 - t) / t)
+    # a hair wider, so that rounding prunes no template that reaches t exactly
+    low, high = F.col("na") * (t / (2 - t)) - 1e-6, F.col("na") * ((2 - t) / t) + 1e-6
     near = sets.where(F.exists(F.array(*[F.lit(len(v)) for v in grams.values() if v]), lambda n: (n >= low) & (n <= high)))
     scored = F.transform(
         F.filter(table, lambda x: (x["n"] >= low) & (x["n"] <= high)),

@@ -85,7 +85,7 @@ u AS (SELECT doc_id, CAST(0 AS INTEGER) AS line, text AS unit FROM l WHERE len(l
       UNION ALL SELECT doc_id, CAST(i AS INTEGER) AS line, lines[i] AS unit FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
 w AS (SELECT doc_id, line, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ') AS w FROM u),
 a AS (SELECT *, len(a) AS na FROM (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1)),
-s AS (SELECT doc_id, line, id, 2.0 * len(list_intersect(a, grams))::DOUBLE / (na + n)::DOUBLE AS dice FROM a JOIN t ON n >= na * ({0.8 / 1.2}) AND n <= na * ({1.2 / 0.8})),
+s AS (SELECT doc_id, line, id, 2.0 * len(list_intersect(a, grams))::DOUBLE / (na + n)::DOUBLE AS dice FROM a CROSS JOIN t),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, id) AS r FROM s WHERE dice >= 0.8)
 SELECT doc_id, line, id AS license_id, dice FROM b WHERE r = 1"""
 
