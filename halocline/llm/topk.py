@@ -46,10 +46,9 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return written(rows.mapInArrow(run, _BLOCK), "vector-blocks")
 
 
-def _matrix(cells: np.ndarray, dims: int, width: int) -> np.ndarray:
-    """The block as float64 if all scores stay exact, else as Python integers."""
-    m = cells.reshape(-1, dims) if dims else np.zeros((0, 0), np.int64)
-    return np.pad(m, ((0, 0), (0, width - dims)))
+def _matrix(cells: np.ndarray, rows: int, dims: int, width: int) -> np.ndarray:
+    """The block's rows, filled up with zeros to the width."""
+    return np.pad(cells.reshape(rows, dims), ((0, 0), (0, width - dims)))
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -84,7 +83,7 @@ def _blocks(b: pa.RecordBatch) -> Iterator[tuple]:
     for r in range(b.num_rows):
         dims, q_dims = at["dims"][r].as_py(), at["q_dims"][r].as_py()
         width = max(dims, q_dims, 1)
-        c, q = (_matrix(at[n][r].values.to_numpy(), d, width) for n, d in (("cells", dims), ("q_cells", q_dims)))
+        c, q = (_matrix(at[n][r].values.to_numpy(), len(at[i][r]), d, width) for n, i, d in (("cells", "ids", dims), ("q_cells", "q_ids", q_dims)))
         cut = at["q_cutoffs"][r].values.to_numpy() if "q_cutoffs" in at else None
         yield at["qb"][r].as_py(), at["q_ids"][r].values.to_numpy(), q, at["ids"][r].values.to_numpy(), c, cut
 
