@@ -225,4 +225,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated documents."""
     bad = decontaminate(docs.select("doc_id", "text"), items, window).where("contaminated").select("row_id").distinct()
-    return docs.withColumn("_row", row_key("doc_id", "text")).join(bad, F.col("_row") == bad.row_id, "left_anti").drop("_row")
+    return docs.alias("d").join(bad.alias("b"), F.expr("xxhash64(d.doc_id, d.text) = b.row_id"), "left_anti")

@@ -79,10 +79,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     gone = lines.alias("l").join(repeated.alias("r"), F.expr("l.h1 = r.h1 and l.h2 = r.h2 and l._id < r.last_id"), "left_semi")
     drops = gone.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
     drops = written(drops, "line-drops")
-    keyed = docs.select(*own, F.coalesce("doc_id", F.lit(lowest)).alias("_id"), row_key("doc_id", "text").alias("_row"))
+    # the rows' own columns travel in a struct, so that none of their names can clash
+    keyed = docs.select(F.struct(*own).alias("_own"), F.coalesce("doc_id", F.lit(lowest)).alias("_id"), row_key("doc_id", "text").alias("_row"))
     joined = keyed.join(drops, ["_id", "_row"], "left")
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    text = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(split, F.col("_drop")), "\n"))
+    whole = F.coalesce("_own.text", F.lit(""))
+    split = F.split(whole, "\n")
+    text = F.when(F.col("_drop").isNull(), whole).otherwise(F.array_join(_kept_lines(split, F.col("_drop")), "\n"))
     n_lines = F.size(split).cast("long").alias("n_lines")
     n_dropped = F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], n_lines, n_dropped)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"_own.`{c}`") for c in own], n_lines, n_dropped)

@@ -39,17 +39,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix_to_weights(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS, seed: int = 42
 ) -> DataFrame:
-    """Adds size, source_size, target and taken (words the mix takes of the document) to every row of docs.
+    """(doc_id, source, _tie, size, source_size, target, taken): a row for every row of docs; taken: words the mix takes.
 
     Documents stand in their source by a random key (MD5 of id and seed). A source takes whole epochs first; the
     rest of its budget is cut exactly, so the last document may be taken in part. Null texts have size 0 and are
     taken 0 times; null sources form one source, sorted last; rows that repeat an id stand next to each other, the
-    smaller first. Source totals of 0 take nothing. Same rows, same result, however they are partitioned.
+    smaller first. Source totals of 0 take nothing. _tie is a hash of the text. Other columns are not read. Same rows, same result, however they are partitioned.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    sized = docs.select(*own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_key"))
-    narrow = written(sized.select("doc_id", "source", "size", "_key", F.xxhash64("text").alias("_tie")), "mix-sizes")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    narrow = written(docs.select("doc_id", "source", size.alias("size"), key.alias("_key"), F.xxhash64("text").alias("_tie")), "mix-sizes")
     sizes = written(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     targets = source_targets(sizes, weights, share, epochs)
     starts = prefix_sums(sizes, ["source"], ["source_size"]).select("source", F.col("before_source_size").alias("_start"))
@@ -64,12 +63,14 @@ def mix_to_weights(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with the mix's figures joined back to the whole rows; documents of which nothing is taken go."""
+    """docs with the mix's figures joined back to the whole rows; documents of which nothing is taken go.
+
+    Columns named size, source_size, target or taken are replaced; all others stay, whatever their names.
+    """
     clash = [c for c in docs.columns if c in ("size", "source_size", "target", "taken")]
     figures = mix_to_weights(docs, **options).groupBy("doc_id", "source", "_tie").agg(
         *[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.max("taken").alias("taken")
     )
-    d = docs.drop(*clash).withColumn("_tie", F.xxhash64("text")).alias("d")
-    on = F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and d._tie = m._tie")
-    out = d.join(figures.alias("m"), on).where("m.taken > 0")
-    return out.select("d.*", "m.size", "m.source_size", "m.target", "m.taken").drop("_tie")
+    on = F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and xxhash64(d.text) = m._tie")
+    out = docs.drop(*clash).alias("d").join(figures.where("taken > 0").alias("m"), on)
+    return out.select("d.*", "m.size", "m.source_size", "m.target", "m.taken")

@@ -175,5 +175,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """docs without the toxic documents; all columns as they are."""
     model = fit_toxicity(docs, labels, **bounds)
-    scored = docs.withColumn("_severity", severity(F.col("text"), model, docs.sparkSession))
-    return scored.where(F.col("_severity.p_toxic") < threshold).drop("_severity")
+    # the rows' own columns travel in a struct, so that none of their names can clash
+    scored = docs.select(F.struct("*").alias("own"), severity(F.col("text"), model, docs.sparkSession).alias("s"))
+    return scored.where(F.col("s.p_toxic") < threshold).select("own.*")
