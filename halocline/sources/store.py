@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ class Store:
         df = self.read(table).where(F.col("month").isin(*month_keys(start, end)))
         return df.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).drop("month")
 
+    def cached_days(self, table: str, start: str, end: str) -> DataFrame:
+        """A range of days kept by the executors, in memory and on disk, for repeated reads; lost parts are read again."""
+        return self.read_days(table, start, end).persist(StorageLevel.MEMORY_AND_DISK)
+
     def write_meta(self, **values: str) -> None:
         self.write_table("_meta", self.spark.createDataFrame(sorted(values.items()), "key string, value string"))
 

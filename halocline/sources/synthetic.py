@@ -53,3 +53,28 @@ def surface_days(spark: SparkSession, grid: Grid, start: str, days: int, seed: i
     joined = x.join(sea, ["i", "j"])
     cycle = 1.5 * F.cos(F.dayofyear("day") * F.lit(2 * math.pi / 365.25))
     return joined.select("day", "i", "j", "wet", F.when(F.col("wet") == 1, mean_temperature(F.col("lat"), 0.0) + cycle + 0.5 * F.col("x")).alias("sst"))
+
+
+def product_days(spark: SparkSession, grid: Grid, start: str, days: int, source_depths: tuple[float, ...], seed: int = 0) -> DataFrame:
+    """(day, i, j, the 7 surface variables, levels array<double>): all an assembly needs; levels end at the sea floor, land has none."""
+    sea = with_sea(cell_table(spark, grid), grid, seed)
+    x = anomalies(spark, grid, days, seed).select("i", "j", F.date_add(F.to_date(F.lit(start)), F.col("t")).alias("day"), "x")
+    joined = x.join(sea, ["i", "j"])
+    turn = F.dayofyear("day") * F.lit(2 * math.pi / 365.25)
+    wet = F.col("wet") == 1
+    at = lambda z: mean_temperature(F.col("lat"), z) + (1.5 * F.cos(turn) + 0.5 * F.col("x")) * math.exp(-z / 100.0)
+    levels = F.array(*[F.when(wet & (F.col("floor_m") >= z), at(z)) for z in source_depths])
+    surface = {"sst": at(0.0), "sss": 35 + 0.2 * F.sin(turn), "sla": 0.1 * F.col("x"), "cur_u": 0.1 * F.cos(turn), "cur_v": -0.05 * F.sin(turn), "wnd_u": 3 * F.cos(turn), "wnd_v": 2 * F.sin(turn)}
+    return joined.select("day", "i", "j", *[F.when(wet, v).alias(k) for k, v in surface.items()], levels.alias("levels"))
+
+
+def float_profiles(spark: SparkSession, grid: Grid, start: str, days: int, per_year: int = 200, seed: int = 0) -> DataFrame:
+    """Profiles (dt, wmo, lat, lon, data_mode, levels) at hashed places and days, ready for build_matchups."""
+    n = max(1, days * per_year // 365)
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(1_000_003)) / 1_000_003.0
+    base = spark.range(n).select(
+        F.date_add(F.to_date(F.lit(start)), F.floor(u(1) * days).cast("int")).cast("timestamp").alias("dt"), F.concat(F.lit("79"), F.lpad((F.col("id") % 40).cast("string"), 5, "0")).alias("wmo"),
+        (grid.lat0 + u(2) * grid.step * (grid.ny - 1)).alias("lat"), (grid.lon0 + u(3) * grid.step * (grid.nx - 1)).alias("lon"), F.when(F.col("id") % 3 == 0, "R").otherwise("D").alias("data_mode"),
+    )
+    level = lambda z: F.struct(F.lit(float(z)).alias("pres"), mean_temperature(F.col("lat"), z).alias("temp"), (mean_temperature(F.col("lat"), z) - 0.01).alias("temp_adj"), F.lit("1").alias("qc"), F.lit("1").alias("qc_adj"))
+    return base.withColumn("levels", F.array(*[level(z) for z in range(0, 1010, 10)]))
