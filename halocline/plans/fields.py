@@ -53,12 +53,12 @@ _SRC = f"{OBS}, src AS (SELECT i, j, avg(v) AS v FROM obs WHERE NOT (i = 3 AND j
 
 @query(f"""WITH {_SRC}, t AS (SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round((5.2e0 + 0.25e0 * a.i - 5.125e0) / 0.25e0, 9) AS pi, round((45.2e0 + 0.25e0 * b.j - 45.125e0) / 0.25e0, 9) AS pj FROM range(9) a(i), range(23) b(j)),
 k AS (SELECT *, pi - floor(pi) AS fi, pj - floor(pj) AS fj FROM t)
-SELECT k.i, k.j, round((s00.v * (1 - fj) + s01.v * fj) * (1 - fi) + (s10.v * (1 - fj) + s11.v * fj) * fi, 6) AS v FROM k
+SELECT * FROM (SELECT k.i, k.j, round((s00.v * (1 - fj) + s01.v * fj) * (1 - fi) + (s10.v * (1 - fj) + s11.v * fj) * fi, 6) AS v FROM k
 LEFT JOIN src s00 ON s00.i = floor(pi) AND s00.j = floor(pj) LEFT JOIN src s01 ON s01.i = floor(pi) AND s01.j = floor(pj) + 1
-LEFT JOIN src s10 ON s10.i = floor(pi) + 1 AND s10.j = floor(pj) LEFT JOIN src s11 ON s11.i = floor(pi) + 1 AND s11.j = floor(pj) + 1""")
+LEFT JOIN src s10 ON s10.i = floor(pi) + 1 AND s10.j = floor(pj) LEFT JOIN src s11 ON s11.i = floor(pi) + 1 AND s11.j = floor(pj) + 1) WHERE v IS NOT NULL""")
 def regrid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = A.obs(spark, sf_dir).where("not (i = 3 and j = 4)").groupBy("i", "j").agg(F.avg("v").alias("v"))
-    return regrid.bilinear(src, COARSE, keys=(), grid=SHIFTED).select("i", "j", r6("v").alias("v"))
+    return regrid.bilinear(src, COARSE, keys=(), grid=SHIFTED).where("v is not null").select("i", "j", r6("v").alias("v"))
 
 
 @query(f"WITH {OBS} SELECT CAST(day AS DATE) AS day, i, j, round(avg(v), 6) AS v FROM obs WHERE year(day) = 1996 GROUP BY day, i, j")

@@ -24,7 +24,7 @@ def plain(df):
     df = df[sorted(df.columns)]
 
     def one(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
             return ("", 0)
         if hasattr(x, "isoformat"):
             return (str(x)[:19].replace(" 00:00:00", ""), 0)
