@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, dates, geo, missing, vertical
-from ..operators import metrics, serving
+from ..operators import masks, matching, metrics, models, serving
+from ..operators.features import MASK_OF, X_VARS
 from ..session import scratch_dir
 from ..sources import catalogue, profiles, reports, store, synthetic
 from ..streaming import twins
 from . import adapters as A
-from .registry import BINNED, CELLS, FIELD, OBS, PAIRS, POINTS, query, r6
+from .registry import BINNED, CELLS, FIELD, MONTHLY, OBS, PAIRS, POINTS, query, r6
 
 
 @query(f"WITH {OBS} SELECT day, i, j, flag, CAST(floor((greatest(2, least(32, v)) - 2) / 30 * 255) AS INTEGER) AS idx_mean, CAST(floor((greatest(15, least(35, coalesce(CASE WHEN flag <> 'F' THEN v END, 15))) - 15) / 20 * 255) AS INTEGER) AS idx_sst FROM obs")
@@ -221,3 +222,57 @@ def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "s.n", r6("s.mean", 9).alias("mean"), r6("s.std", 7).alias("std"))
 
 
+
+
+@query(f"WITH {FIELD}, o AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey % 10 AS INTEGER) AS i, CAST(l_suppkey % 24 AS INTEGER) AS j, CASE WHEN l_discount > 0.02 THEN l_quantity END AS a, CASE WHEN l_tax > 0.02 THEN l_quantity END AS b FROM lineitem) SELECT l_orderkey, l_linenumber, o.day, o.i, o.j, round(field.v, 6) AS v FROM o JOIN field ON field.day = o.day AND field.i = o.i AND field.j = o.j WHERE a IS NOT NULL OR b IS NOT NULL")
+def match_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of two depths joined to the field of their day and cell; those without a value are left out."""
+    li = A.table(spark, sf_dir, "lineitem")
+    seen = F.array(F.when(F.col("l_discount") > 0.02, F.col("l_quantity")), F.when(F.col("l_tax") > 0.02, F.col("l_quantity")))
+    obs = li.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), (F.col("l_suppkey") % 10).cast("int").alias("i"), (F.col("l_suppkey") % 24).cast("int").alias("j"), seen.alias("obs"))
+    return matching.match_to_grid(obs, A.field(spark, sf_dir)).select("l_orderkey", "l_linenumber", "day", "i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {MONTHLY} SELECT day, i, j, round(CASE WHEN sst IS NOT NULL THEN (sst - 25) * 2 + 0.5e0 + 25 END, 6) AS sst, round(CASE WHEN sss IS NOT NULL THEN sqrt((sst / 10 + 1) * (sst / 10 + 1) + (sss / 10 + 1) * (sss / 10 + 1)) END, 6) AS cur FROM mg")
+def physical_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised anomalies back to physical fields, with the speed of the currents; missing where the mask is 0."""
+    g = A.monthly_grid(spark, sf_dir)
+    s, t = F.col("sst"), F.col("sss")
+    z = {"sst": s - 25, "cur_u": s / 10, "cur_v": t / 10} | {v: F.lit(0.0) for v in ("sss", "sla", "wnd_u", "wnd_v")}
+    clim = {v: F.lit(25.0 if v == "sst" else 1.0) for v in X_VARS}
+    flag = {"sst": s, "cur": t} | {m: F.lit(1) for m in ("sss", "sla", "wnd")}
+    x = g.select("day", "i", "j", *[z[v].alias(f"z_{v}") for v in X_VARS], *[clim[v].alias(f"clim_{v}") for v in X_VARS], *[flag[m].isNotNull().cast("int").alias(f"mask_{m}") for m in sorted(set(MASK_OF.values()))])
+    return models.physical_inputs(x, {"sst": (0.5, 2.0)}).select("day", "i", "j", r6("sst").alias("sst"), r6("cur").alias("cur"))
+
+
+@query(f"WITH {CELLS}, d AS (SELECT a.i, a.j, min(sqrt((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j))) * 27.75e0 AS coast FROM cells a JOIN cells b ON b.wet = 0 GROUP BY a.i, a.j) SELECT c.i, c.j, wet, CASE WHEN c.i > 2 THEN c.i / 10e0 ELSE 0 END AS bottom_norm, round(coast, 6) AS coast_km FROM cells c JOIN d ON d.i = c.i AND d.j = c.j")
+def static_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = A.cells(spark, sf_dir)
+    bottom = cells.where("i > 2").select("i", "j", (F.col("i") / 10).alias("bottom_norm"))
+    return masks.static_fields(cells, bottom, masks.coast_distance(cells)).withColumn("coast_km", r6("coast_km"))
+
+
+@query(f"""WITH {PAIRS}, s AS (SELECT model, d, CASE WHEN grouping(basin) = 1 THEN 'overall' ELSE basin END AS basin, CASE WHEN grouping(season) = 1 THEN 'all' ELSE season END AS season, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM pc GROUP BY GROUPING SETS ((model, d), (model, d, basin), (model, d, season), (model, d, basin, season)))
+SELECT model, basin, season, round(max(rmse) FILTER (d = 3), 6) AS d_3, round(max(rmse) FILTER (d = 99), 6) AS d_99 FROM s GROUP BY model, basin, season""")
+def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested lookup of a metric by depth; a depth that is not there is missing."""
+    maps = serving.report_lookup(metrics.evaluate(A.pairs_with_clim(spark, sf_dir)), "rmse")
+    return maps.select("model", "basin", "season", *[r6(F.try_element_at("by_depth", F.lit(k))).alias(f"d_{k}") for k in (3, 99)])
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT d, pred AS mean, 25 * sigma AS s, truth FROM pairs) SELECT d, v.n AS nominal, round(avg(CAST(abs(truth - mean) <= v.z * s AS DOUBLE)), 6) AS empirical FROM k CROSS JOIN (VALUES (0.5e0, 0.6745e0), (0.8e0, 1.2816e0), (0.9e0, 1.6449e0), (0.95e0, 1.96e0)) v(n, z) GROUP BY d, v.n")
+def calibration_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.pairs(spark, sf_dir).select("d", F.col("pred").alias("mean"), (25 * F.col("sigma")).alias("sigma"), "truth")
+    return serving.calibration_points(metrics.calibration(p, ["d"]), ["d"]).withColumn("empirical", r6("empirical"))
+
+
+_PRESETS = [(0, "arabian", 20.0, 50.0, 6.0, 75.0), (1, "bengal", 20.0, 88.0, 6.0, 90.0), (2, "equator", 7.0, 50.0, 7.0, 98.0)]
+
+
+@query(f"WITH {POINTS}, p(rank, name, a_lat, a_lon, b_lat, b_lon) AS (VALUES " + ", ".join(f"({r}, '{n}', {', '.join(f'{x}e0' for x in c)})" for r, n, *c in _PRESETS) + "), h AS (SELECT point, name, row_number() OVER (PARTITION BY point ORDER BY rank) AS r FROM points JOIN p ON abs(p.a_lat - lat) < 8 AND abs(p.a_lon - lon) < 8 AND abs(p.b_lat - lat / 2) < 8 AND abs(p.b_lon - (lon + 10)) < 8) SELECT points.point AS line_id, h.name AS preset FROM points LEFT JOIN h ON h.point = points.point AND h.r = 1")
+def matched_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against a fixed list of presets; wide tolerances, so that lines match none, one or several."""
+    pts = A.points(spark, sf_dir)
+    lines = pts.select(F.col("point").alias("line_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), (F.col("lat") / 2).alias("b_lat"), (F.col("lon") + 10).alias("b_lon"))
+    presets = spark.createDataFrame(_PRESETS, "rank int, name string, a_lat double, a_lon double, b_lat double, b_lon double")
+    return serving.matched_preset(lines, presets, 8.0)
