@@ -18,6 +18,9 @@ _ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 #: Rows of an Arrow batch handed to Python; texts are long, so the batches are short.
 BATCH_ROWS = 1000
 
+#: Decisions about documents are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -48,6 +51,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(decisions: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A written table of decisions, marked for broadcast if it has at most BROADCAST_BYTES, so that whole texts need not be shuffled.
+
+    A larger one is left as it is: Spark then joins by shuffle. row_bytes bounds a row without its arrays and texts; these are added up.
+    """
+    parts = [F.sum(F.size(c).cast("long") * 8) for c, kind in decisions.dtypes if kind.startswith("array")]
+    parts += [F.sum(F.octet_length(c).cast("long")) for c, kind in decisions.dtypes if kind == "string"]
+    found = decisions.agg(F.count(F.lit(1)), *parts).first()
+    size = found[0] * row_bytes + sum(x or 0 for x in found[1:])
+    return F.broadcast(decisions) if size <= BROADCAST_BYTES else decisions
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small unless the session has set its own bound."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":

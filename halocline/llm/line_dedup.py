@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, written
+from .common import ascii_lower, broadcast_if_small, row_key, written
 from .runs import SortedRuns
 
 SPACE = " \t\n\x0b\f\r"
@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     drops = written(drops, "line-drops")
     # the rows' own columns travel in a struct, so that none of their names can clash
     keyed = docs.select(F.struct(*own).alias("_own"), F.coalesce("doc_id", F.lit(lowest)).alias("_id"), row_key("doc_id", "text").alias("_row"))
-    joined = keyed.join(drops, ["_id", "_row"], "left")
+    joined = keyed.join(broadcast_if_small(drops), ["_id", "_row"], "left")
     whole = F.coalesce("_own.text", F.lit(""))
     split = F.split(whole, "\n")
     text = F.when(F.col("_drop").isNull(), whole).otherwise(F.array_join(_kept_lines(split, F.col("_drop")), "\n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums, written
+from .common import WORD, broadcast_if_small, prefix_sums, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -71,6 +71,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     figures = mix_to_weights(docs, **options).groupBy("doc_id", "source", "_tie").agg(
         *[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.max("taken").alias("taken")
     )
+    figures = written(figures.where("taken > 0"), "mix-figures")
     on = F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and xxhash64(d.text) = m._tie")
-    out = docs.drop(*clash).alias("d").join(figures.where("taken > 0").alias("m"), on)
+    out = docs.drop(*clash).alias("d").join(broadcast_if_small(figures, 128).alias("m"), on)
     return out.select("d.*", "m.size", "m.source_size", "m.target", "m.taken")
