@@ -90,6 +90,10 @@ def alnum_words_of(text: bytes) -> list[bytes]:
     return text.translate(_ALNUM).split()
 
 
+#: Words that a worker keeps looked up; what it looks up anew is cheap, and its memory adds to the executor's.
+KEPT_WORDS = 100_000
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all when it grows beyond a bound, so memory stays bounded."""
 

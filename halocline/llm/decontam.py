@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words_of, broadcast_if_small, covered, row_key, short_batches, written
+from .common import KEPT_WORDS, WordHashes, alnum_words_of, broadcast_if_small, covered, row_key, short_batches, written
 
 WINDOW = 10
 #: Windows sent to the executors at once (at most this many times WINDOW terms); more are searched block by block.
@@ -51,7 +51,7 @@ class _TermIds(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         h = xxhash.xxh64_intdigest(word, 0)
         value = self[word] = h if self.vocabulary is None or h in self.vocabulary else 0

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words_of, short_batches, written
+from .common import KEPT_WORDS, alnum_words_of, short_batches, written
 
 #: Bounds of the fit (documented parameters): labelled rows and features used.
 MAX_LABELLED = 20_000
@@ -40,7 +40,7 @@ class _Known(dict):
         self.selected = selected
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         value = self[word] = tuple(self.selected[f] for f in features_of(word) if f in self.selected)
         return value
