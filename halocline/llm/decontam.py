@@ -23,7 +23,7 @@ WINDOW = 10
 BLOCK_WINDOWS = 200_000
 #: Vocabulary terms sent to the executors (8 bytes each); a larger vocabulary is not used as a filter.
 MAX_VOCABULARY = 2_000_000
-SEGMENT = "row_ids array<long>, ids array<long>, n_words array<int>, base array<int>, terms array<long>, ends array<int>, positions array<int>"
+SEGMENT = "row_ids array<long>, ids array<long>, n_words array<int>, base array<int>, terms array<long>, ends array<int>, positions array<int>, keys array<long>"
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -61,7 +61,8 @@ class _TermIds(dict):
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, gap: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) -> segments of the positional index. vocabulary (sorted uint64 hashes): only these terms are posted.
 
-    Positions count through a segment, with a gap between documents so that no window spans two.
+    Positions count through a segment, with a gap between documents so that no window spans two. keys tell rows apart that
+    are equal in id and text; they are fixed when the index is written.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -85,10 +86,10 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, gap: int
             order = np.argsort(h, kind="stable")
             h, p = h[order], p[order]
             unique, first = np.unique(h, return_index=True)
-            lists = [b.column(1), b.column(0), pa.array(n_words, pa.int32()), pa.array(base, pa.int32()), pa.array(unique.view(np.int64)), pa.array(np.append(first[1:], len(h))[: len(unique)].astype(np.int32)), pa.array(p)]
+            lists = [b.column(1), b.column(0), pa.array(n_words, pa.int32()), pa.array(base, pa.int32()), pa.array(unique.view(np.int64)), pa.array(np.append(first[1:], len(h))[: len(unique)].astype(np.int32)), pa.array(p), b.column(3)]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("_row"), F.col("text").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("_row"), F.col("text").cast("binary"), F.monotonically_increasing_id().alias("_key"))
     return written(rows.mapInArrow(run, SEGMENT), "postings")
 
 
@@ -146,7 +147,7 @@ def near_places(postings: _Postings, terms: list[int], order: list[int], slop: i
 
 
 def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
-    """(row_id, doc_id, n_words, starts, lengths, items): one row per document of every segment, for a block of windows."""
+    """(key, row_id, doc_id, n_words, starts, lengths, items): one row per document of every segment, for a block of windows."""
     shared = segments.sparkSession.sparkContext.broadcast([(list(r.terms), list(r.order), [x for x in r["items"]]) for r in block])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +167,15 @@ def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
                 ids = [[windows[w][2] for _, _, w in h] for h in hits]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        seg["row_ids"], seg["ids"], pa.array(n_words),
+                        seg["keys"], seg["row_ids"], seg["ids"], pa.array(n_words),
                         pa.array([[x[0] for x in h] for h in hits], pa.list_(pa.int32())),
                         pa.array([[x[1] for x in h] for h in hits], pa.list_(pa.int32())),
                         pa.array([sorted({i for x in d for i in x}) for d in ids], pa.list_(pa.int64())),
                     ],
-                    names=["row_id", "doc_id", "n_words", "starts", "lengths", "items"],
+                    names=["key", "row_id", "doc_id", "n_words", "starts", "lengths", "items"],
                 )
 
-    return segments.mapInArrow(run, "row_id long, doc_id long, n_words int, starts array<int>, lengths array<int>, items array<long>")
+    return segments.mapInArrow(run, "key long, row_id long, doc_id long, n_words int, starts array<int>, lengths array<int>, items array<long>")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -195,11 +196,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
     part = F.pmod(F.xxhash64("terms"), F.lit(blocks))
     found = [_search(segments, ranked.where(part == k).collect(), slop) for k in range(blocks)]
     if blocks == 1:
-        return found[0]
-    joint = reduce(DataFrame.unionByName, found).withColumn("_k", F.monotonically_increasing_id())
-    first = {"doc_id": F.first("doc_id"), "n_words": F.first("n_words")}
+        return found[0].drop("key")
+    joint = reduce(DataFrame.unionByName, found)
+    first = {c: F.first(c) for c in ("row_id", "doc_id", "n_words")}
     merged = {c: F.flatten(F.collect_list(c)) for c in ("starts", "lengths", "items")}
-    both = joint.groupBy("row_id").agg(*[v.alias(c) for c, v in (first | merged).items()])
+    both = joint.groupBy("key").agg(*[v.alias(c) for c, v in (first | merged).items()]).drop("key")
     return both.withColumn("items", F.array_distinct("items"))
 
 

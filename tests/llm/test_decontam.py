@@ -55,6 +55,14 @@ def test_windows_in_blocks_and_without_a_vocabulary(spark, monkeypatch):
     assert found(spark, rows, items, 3) == brute(rows, items, 3)
 
 
+def test_blocks_judge_repeated_and_null_rows_each(spark, monkeypatch):
+    items = list(enumerate(some_texts(9, 20, 12)))
+    rows = list(enumerate(some_texts(10, 10, 40)))
+    rows += rows[:4] + [(None, None), (None, None), (None, ""), (None, rows[1][1]), (None, rows[1][1]), (3, None), (3, None)]
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 7)
+    assert found(spark, rows, items, 3) == brute(rows, items, 3)
+
+
 def test_windows_do_not_span_documents(spark):
     rows = [(0, "one two three four five"), (1, "six seven eight nine ten")]
     assert all(r[2] == 0 for r in found(spark, rows, [(0, "one two three four five six seven eight nine ten")], 10))
