@@ -275,6 +275,14 @@ def test_nearest_day(spark):
     assert got == {day(0): day(2), day(4): day(2), day(5): day(2), day(6): day(8), day(500): day(300)}
 
 
+def test_nearest_day_years_away(spark):
+    days = [dt.date(1990, 3, 1), dt.date(1995, 12, 31), dt.date(1999, 1, 1)]
+    asked = [dt.date(1980, 1, 1), dt.date(1992, 6, 1), dt.date(1993, 6, 1), dt.date(1997, 2, 3), dt.date(1997, 9, 9), dt.date(2020, 5, 5), None]
+    have, t = spark.createDataFrame([(d,) for d in days], "day date"), spark.createDataFrame([(d,) for d in asked], "target date")
+    got = {r.target: r.day for r in matching.nearest_day(t, have).collect()}
+    assert got == {d: d and min(days, key=lambda x: (abs((x - d).days), x)) for d in asked}
+
+
 def test_matchup_table(spark):
     level = "array<struct<pres: double, temp: double, temp_adj: double, qc: string, qc_adj: string>>"
     rows = [(dt.datetime(2016, 5, 1, 7), "7900", 10.13, 70.13, "D", [(0.0, 1.0, 20.5, "4", "1"), (5.0, 1.0, 21.5, "1", "4"), (10.0, 1.0, 22.5, "1", "2")]), (dt.datetime(2016, 5, 1), "7901", 10.13, 70.13, "R", [(0.0, 30.0, None, "1", "9"), (5.0, 29.0, None, " ", "9")])]
