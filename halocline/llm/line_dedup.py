@@ -55,7 +55,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of min_chars code points
     or more that min_docs documents or more hold lose all their lines but those of the largest doc_id holding them.
     Documents are indexed in `batches` batches by id; each adds its sorted run, runs are compacted level by level,
-    and each batch is merge-joined with the result: lines that the index assigns to a later document go.
+    and one join of all lines with the result decides: lines that the index assigns to a later document go.
 
     Null or empty texts are one empty line (text becomes ''). Null ids count as one document, smaller than all.
     Rows that repeat an id count as one document; each row loses lines by the same rule. Ties can't arise: one
