@@ -18,8 +18,8 @@ _ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 #: Rows of an Arrow batch handed to Python; texts are long, so the batches are short.
 BATCH_ROWS = 1000
 
-#: Decisions about documents are broadcast up to this size.
-BROADCAST_BYTES = 32 << 20
+#: Bits of the filter that tells which rows a decision may concern: 16 MB, whatever the number of decisions.
+FILTER_BITS = 1 << 27
 
 _own_dirs: dict[str, str] = {}
 
@@ -51,16 +51,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(decisions: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """A written table of decisions, marked for broadcast if it has at most BROADCAST_BYTES, so that whole texts need not be shuffled.
+def key_bits(keys: DataFrame, key: str) -> DataFrame:
+    """(slot, bits): which of FILTER_BITS values the hashes of the keys take, as at most FILTER_BITS / 32768 bitmaps of 4 KB.
 
-    A larger one is left as it is: Spark then joins by shuffle. row_bytes bounds a row without its arrays and texts; these are added up.
+    However many keys there are, the result is FILTER_BITS / 8 bytes at most, so it may be broadcast.
     """
-    parts = [F.sum(F.size(c).cast("long") * 8) for c, kind in decisions.dtypes if kind.startswith("array")]
-    parts += [F.sum(F.octet_length(c).cast("long")) for c, kind in decisions.dtypes if kind == "string"]
-    found = decisions.agg(F.count(F.lit(1)), *parts).first()
-    size = found[0] * row_bytes + sum(x or 0 for x in found[1:])
-    return F.broadcast(decisions) if size <= BROADCAST_BYTES else decisions
+    at = keys.select((F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).alias("at"))
+    return at.groupBy(F.bitmap_bucket_number("at").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def maybe_among(rows: DataFrame, key: Column, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among those of key_bits, rows whose key is not). The first gain a column _key."""
+    at = F.pmod(F.xxhash64("_key"), F.lit(FILTER_BITS)) + 1
+    own, place = rows.columns, F.bitmap_bit_position("at").cast("int")
+    keyed = rows.select(F.struct("*").alias("_own"), key.alias("_key")).withColumn("at", at)
+    joined = keyed.join(F.broadcast(bits), F.bitmap_bucket_number("at") == F.col("slot"), "left")  # FILTER_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    mine = [F.col(f"_own.`{c}`") for c in own]
+    return joined.where(hit).select("_own", "_key"), joined.where(~hit).select(*mine)
+
+
+def without_rows(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows whose key is not in keys (a written table with the column `name`).
+
+    Most rows are told apart by a bitmap of fixed size and stay where they are; only those that may be among the keys are
+    shuffled to the keys, whose partitions are hashed, so that long rows need not be sorted.
+    """
+    may, free = maybe_among(rows, key, key_bits(keys, name))
+    exact = may.join(keys.select(F.col(name).alias("_key")).hint("shuffle_hash"), "_key", "left_anti")
+    return free.unionByName(exact.select(*[F.col(f"_own.`{c}`") for c in rows.columns]))
+
+
+def only_rows(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows whose key is in keys (a written table); the others are not shuffled."""
+    may, _ = maybe_among(rows, key, key_bits(keys, name))
+    exact = may.join(keys.select(F.col(name).alias("_key")).hint("shuffle_hash"), "_key", "left_semi")
+    return exact.select(*[F.col(f"_own.`{c}`") for c in rows.columns])
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEPT_WORDS, WordHashes, alnum_words_of, broadcast_if_small, covered, row_key, short_batches, written
+from .common import KEPT_WORDS, WordHashes, alnum_words_of, covered, row_key, short_batches, without_rows, written
 
 WINDOW = 10
 #: Windows sent to the executors at once (at most this many times WINDOW terms); more are searched block by block.
@@ -225,5 +225,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated documents."""
-    bad = written(decontaminate(docs.select("doc_id", "text"), items, window).where("contaminated").select("row_id").distinct(), "contaminated")
-    return docs.alias("d").join(broadcast_if_small(bad).alias("b"), F.expr("xxhash64(d.doc_id, d.text) = b.row_id"), "left_anti")
+    bad = decontaminate(docs.select("doc_id", "text"), items, window).where("contaminated").select("row_id").distinct()
+    return without_rows(docs, row_key("doc_id", "text"), written(bad, "contaminated"), "row_id")

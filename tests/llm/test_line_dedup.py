@@ -30,7 +30,7 @@ def brute(rows, min_docs=5, min_chars=40):
 
 def same(spark, rows, **options):
     got = [tuple(r) for r in dedup_lines(docs(spark, rows, EXTRA), **options).select("doc_id", "n_lines", "n_dropped", "text").collect()]
-    plain = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+    plain = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3], r[2]))
     assert plain(got) == plain(brute(rows, **options))
 
 
@@ -72,3 +72,29 @@ def test_incremental_index(spark):
 def test_empty_table_and_no_python(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
     assert "Python" not in dedup_lines(docs(spark, ["x"]))._jdf.queryExecution().toString()
+
+
+def test_a_later_session_continues_the_index(spark):
+    hot, other = LONG.format("hot"), LONG.format("other")
+    rows = [(i, f"{hot}\n{other if i % 3 else 'x'}") for i in range(12)] + [(None, hot)]
+    old, new = [r for r in rows if (r[0] or 0) < 6], [r for r in rows if (r[0] or 0) >= 6]
+    index = LineIndex(spark, fanout=2)
+    dedup_lines(docs(spark, old), index=index).count()
+    path = index.runs.path
+    index.runs.close()
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "3")  # other than when the runs were bucketed
+    later = LineIndex(session, path=path)
+    got = {(r.doc_id, r.text) for r in dedup_lines(docs(session, new), index=later).collect()}
+    later.runs.close()
+    assert got == {(r.doc_id, r.text) for r in dedup_lines(docs(spark, rows)).collect() if (r.doc_id or 0) >= 6}
+
+
+def test_runs_are_neither_shuffled_nor_sorted(spark):
+    index = LineIndex(spark)
+    lines = long_lines(docs(spark, [(i, LONG.format(i % 7)) for i in range(20)]))
+    index.add(lines)
+    entries = lines.groupBy("h1", "h2").agg({"_id": "max"})
+    plan = index.runs.unseen(entries)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    index.runs.close()

@@ -59,6 +59,21 @@ def test_repeated_rows_and_whole_documents(spark):
     assert out.where("taken <= 0").count() == 0 and out.groupBy().agg(F.count("*")).first()[0] <= 5
 
 
+def test_repeated_rows_stay_within_the_target(spark):
+    for extra in ([], [(9, "e f g", "s")], [(None, "h", None), (4, "", "s")]):
+        d = docs(spark, [(1, "a b c d e f g h", "s"), (1, "a b c d e f g h", "s"), (2, "a", "t"), *extra], EXTRA)
+        out = mixed_documents(d).collect()
+        for source in {r.source for r in out}:
+            rows = [r for r in out if r.source == source]
+            assert rows[0].target - 2 <= sum(r.taken for r in rows) <= rows[0].target + 0.51
+
+
+def test_whole_documents_take_what_the_figures_say(spark):
+    d = docs(spark, rows({"a": list(range(40)), "b": [7] * 60, None: [3, None, 0]}), EXTRA)
+    want = sorted((r.doc_id, r.taken) for r in mix_to_weights(d).collect() if r.taken)
+    assert sorted((r.doc_id, r.taken) for r in mixed_documents(d).collect()) == want
+
+
 def test_empty_table(spark):
     assert mix_to_weights(docs(spark, [])).count() == 0
     assert mix_to_weights(docs(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0

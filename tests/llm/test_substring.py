@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from halocline.llm.common import written
 from halocline.llm.substring import FingerprintIndex, fingerprints, remove_repeats
 
 from .helpers import EXTRA, docs, some_texts
@@ -78,3 +79,25 @@ def test_incremental_index_and_empty_table(spark):
     assert index.shared().count() > 0
     index.runs.close()
     assert remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_a_later_session_continues_the_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    def of(session, rows):
+        return fingerprints(docs(session, rows).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), "text"))
+
+    texts = [(n, " ".join(f"{c}{k}" for k in range(60))) for n, c in enumerate("abca")]
+    texts[3] = (3, texts[3][1] + " more")
+    index, whole = FingerprintIndex(spark), FingerprintIndex(spark)
+    index.add(of(spark, texts[:2]))
+    path = index.runs.path
+    index.runs.close()
+    session = spark.newSession()
+    later = FingerprintIndex(session, path=path)
+    again = written(later.add(of(session, texts[2:])), "again")
+    whole.add(of(spark, texts))
+    want = {r.gram for r in whole.shared().collect()}
+    assert want and {r.gram for r in later.shared(again).collect()} == want == {r.gram for r in later.shared().collect()}
+    for x in (later, whole):
+        x.runs.close()
