@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is split by documents: each segment is one row that holds the postings (term -> positions) of a batch of
-training documents. Queries go to every segment, so a term or passage that a third of all documents share makes no
-hot partition, and neither building nor searching shuffles text.
+training documents. Queries go to every segment and start from the term that is rarest there, so a term or passage that
+a third of all documents share makes no hot partition, and neither building nor searching shuffles text or postings.
 """
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT_WORDS, WordHashes, alnum_words_of, covered, row_key, short_batches, without_rows, written
+from .common import WordHashes, alnum_words_of, covered, row_key, short_batches, without_rows, written
 
 WINDOW = 10
 #: Windows sent to the executors at once (at most this many times WINDOW terms); more are searched block by block.
 BLOCK_WINDOWS = 200_000
-#: Vocabulary terms sent to the executors (8 bytes each); a larger vocabulary is not used as a filter.
-MAX_VOCABULARY = 2_000_000
 SEGMENT = "row_ids array<long>, ids array<long>, n_words array<int>, base array<int>, terms array<long>, ends array<int>, positions array<int>, keys array<long>"
 
 
@@ -44,133 +42,142 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "item_id long, terms array<long>")
 
 
-class _TermIds(dict):
-    """word -> its hash if the vocabulary (None: everything) has it, else 0; bounded."""
-
-    def __init__(self, vocabulary: set[int] | None):
-        self.vocabulary = vocabulary
+class _Numbers(dict):
+    """word -> its number in order of first appearance."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, 0)
-        value = self[word] = h if self.vocabulary is None or h in self.vocabulary else 0
+        value = self[word] = len(self)
         return value
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, gap: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> segments of the positional index. vocabulary (sorted uint64 hashes): only these terms are posted.
-
-    Positions count through a segment, with a gap between documents so that no window spans two. keys tell rows apart that
-    are equal in id and text; they are fixed when the index is written.
+def _postings(texts: list[list[bytes]], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(sorted term hashes, end of each term's list, positions, first position of each text) of a batch of tokenised texts."""
+    numbers, of_words, places, base, at = _Numbers(), [], [], [], 0
+    for words in texts:
+        of_words.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        places.append(np.arange(at, at + len(words), dtype=np.int32))
+        base.append(at)
+        at += len(words) + gap
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in numbers), np.uint64, len(numbers))
+    by_hash = np.argsort(hashes)
+    rank = np.empty(len(hashes), np.uint16 if len(hashes) <= 1 << 16 else np.int32)
+    rank[by_hash] = np.arange(len(hashes))
+    ranks = rank[np.concatenate(of_words)] if of_words else rank[:0]
+    order = np.argsort(ranks, kind="stable")
+    positions = np.concatenate(places)[order] if places else np.empty(0, np.int32)
+    return hashes[by_hash], np.cumsum(np.bincount(ranks, minlength=len(hashes))).astype(np.int32), positions, base
+
+
+def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
+    """docs (doc_id, text) -> segments of the positional index: the postings of every word of every document.
+
+    The index knows nothing of what will be looked up, so it serves any number of benchmarks. Positions count through a
+    segment, with a gap between documents so that no window spans two. keys tell rows apart that are equal in id and
+    text; they are fixed when the index is written.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _TermIds(None if shared.value is None else set(shared.value.tolist()))
         for b in batches:
-            n_words, terms, places, at = [], [], [], 0
-            base = []
-            for text in b.column(2).to_pylist():
-                words = alnum_words_of(text or b"")
-                h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-                found = np.flatnonzero(h)
-                terms.append(h[found])
-                places.append(found + at)
-                n_words.append(len(words))
-                base.append(at)
-                at += len(words) + gap
-            h, p = np.concatenate(terms), np.concatenate(places).astype(np.int32)
-            order = np.argsort(h, kind="stable")
-            h, p = h[order], p[order]
-            unique, first = np.unique(h, return_index=True)
-            lists = [b.column(1), b.column(0), pa.array(n_words, pa.int32()), pa.array(base, pa.int32()), pa.array(unique.view(np.int64)), pa.array(np.append(first[1:], len(h))[: len(unique)].astype(np.int32)), pa.array(p), b.column(3)]
+            texts = [alnum_words_of(t or b"") for t in b.column(2).to_pylist()]
+            terms, ends, positions, base = _postings(texts, gap)
+            lists = [b.column(1), b.column(0), pa.array([len(w) for w in texts], pa.int32()), pa.array(base, pa.int32()), pa.array(terms.view(np.int64)), pa.array(ends), pa.array(positions), b.column(3)]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("_row"), F.col("text").cast("binary"), F.monotonically_increasing_id().alias("_key"))
     return written(rows.mapInArrow(run, SEGMENT), "postings")
 
 
-def term_counts(segments: DataFrame) -> DataFrame:
-    """(term, n): how often each posted term occurs, from the segments' directories alone."""
-    sizes = F.zip_with("ends", F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))), lambda a, b: a - b)
-    each = segments.select(F.explode(F.arrays_zip(F.col("terms").alias("t"), sizes.alias("n"))).alias("x"))
-    return each.select(F.col("x.t").alias("term"), F.col("x.n").cast("long").alias("n")).groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def ordered_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(terms, items) -> plus order: offsets from the rarest term on. Windows with a term that training lacks are left out."""
-    numbered = windows.withColumn("wid", F.xxhash64("terms"))
-    each = numbered.select("wid", F.posexplode("terms").alias("o", "term")).join(counts, "term", "left")
-    order = each.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o"))).alias("by"))
-    return numbered.join(order.where(F.col("by")[0]["n"] > 0), "wid").select("terms", "items", F.col("by.o").alias("order"))
-
-
 class _Postings:
     """One segment's lists."""
 
     def __init__(self, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray):
         self.terms, self.ends, self.positions = terms.view(np.uint64), ends, positions
 
-    def of(self, term: int) -> np.ndarray:
-        k = np.searchsorted(self.terms, np.uint64(term & 0xFFFFFFFFFFFFFFFF))
-        if k == len(self.terms) or self.terms[k] != np.uint64(term & 0xFFFFFFFFFFFFFFFF):
-            return self.positions[:0]
-        return self.positions[self.ends[k - 1] if k else 0 : self.ends[k]]
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the directory, length of the list) of each term; the length is 0 where the segment lacks it."""
+        if not len(self.terms):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return at, np.where(self.terms[at] == terms, np.diff(self.ends, prepend=0)[at], 0)
+
+    def at(self, place: int) -> np.ndarray:
+        return self.positions[self.ends[place - 1] if place else 0 : self.ends[place]]
 
 
-def phrase_starts(postings: _Postings, terms: list[int], order: list[int]) -> np.ndarray:
-    """Where all terms stand in sequence: the offset-adjusted lists, intersected from the rarest on."""
-    found = postings.of(terms[order[0]]) - order[0]
+def phrase_starts(lists: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Where all lists stand in sequence: the offset-adjusted lists, intersected from the rarest on."""
+    found = lists[order[0]] - order[0]
     for o in order[1:]:
         if not len(found):
             break
-        other = postings.of(terms[o])
-        at = np.minimum(np.searchsorted(other, found + o), max(0, len(other) - 1))
-        found = found[other[at] == found + o] if len(other) else found[:0]
+        other = lists[o]
+        at = np.minimum(np.searchsorted(other, found + o), len(other) - 1)
+        found = found[other[at] == found + o]
     return found
 
 
-def near_places(postings: _Postings, terms: list[int], order: list[int], slop: int) -> np.ndarray:
+def near_places(lists: list[np.ndarray], order: np.ndarray, slop: int) -> np.ndarray:
     """Positions of the rarest term that have every other term within slop words on either side."""
-    found = postings.of(terms[order[0]])
+    found = lists[order[0]]
     for o in order[1:]:
-        other = postings.of(terms[o])
-        if not len(found) or not len(other):
-            return found[:0]
+        other = lists[o]
+        if not len(found):
+            break
         at = np.searchsorted(other, found)
         right, left = other[np.minimum(at, len(other) - 1)], other[np.maximum(at - 1, 0)]
         found = found[np.minimum(np.abs(right - found), np.abs(left - found)) <= slop]
     return found
 
 
+class _Queries:
+    """A block of windows: their distinct terms, and the windows as places among these."""
+
+    def __init__(self, block: list):
+        lengths = np.array([len(r.terms) for r in block], np.int64)
+        self.terms, flat = np.unique(np.array([t for r in block for t in r.terms], np.int64).view(np.uint64), return_inverse=True)
+        self.flat, self.ends = flat.astype(np.int32), np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.items = [list(r["items"]) for r in block]
+
+    def found_in(self, lists: _Postings, slop: int | None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(window, its length, where it stands), of windows that occur. A window is looked for if the segment has all its terms."""
+        if not len(self.items):
+            return
+        at, size = lists.find(self.terms)
+        for w in np.flatnonzero(np.minimum.reduceat(size[self.flat], self.starts) > 0).tolist():
+            own = self.flat[self.starts[w] : self.ends[w]]
+            order = np.argsort(size[own], kind="stable")  # from this segment's rarest term on
+            of = [lists.at(k) for k in at[own].tolist()]
+            places = phrase_starts(of, order) if slop is None else near_places(of, order, slop)
+            if len(places):
+                yield w, len(own) if slop is None else 1, places
+
+
 def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
     """(key, row_id, doc_id, n_words, starts, lengths, items): one row per document of every segment, for a block of windows."""
-    shared = segments.sparkSession.sparkContext.broadcast([(list(r.terms), list(r.order), [x for x in r["items"]]) for r in block])
+    shared = segments.sparkSession.sparkContext.broadcast(_Queries(block))  # BLOCK_WINDOWS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        rarest = np.array([w[0][w[1][0]] for w in windows], np.int64).view(np.uint64)
+        queries = shared.value
         for b in batches:
             for k in range(b.num_rows):
                 seg = {n: b.column(b.schema.get_field_index(n))[k].values for n in b.schema.names}
-                base, n_words = seg["base"].to_numpy(), seg["n_words"].to_numpy()
+                base = seg["base"].to_numpy()
                 lists = _Postings(seg["terms"].to_numpy(), seg["ends"].to_numpy(), seg["positions"].to_numpy())
-                hits: list[list] = [[] for _ in base]
-                for w in np.flatnonzero(np.isin(rarest, lists.terms)):
-                    terms, order, items = windows[w]
-                    found = phrase_starts(lists, terms, order) if slop is None else near_places(lists, terms, order, slop)
-                    for doc, start in zip((np.searchsorted(base, found, "right") - 1).tolist(), found.tolist(), strict=True):
-                        hits[doc].append((start - int(base[doc]), len(terms) if slop is None else 1, w))
-                ids = [[windows[w][2] for _, _, w in h] for h in hits]
+                starts, lengths, items = ([[] for _ in base] for _ in range(3))
+                for w, length, places in queries.found_in(lists, slop):
+                    of = np.searchsorted(base, places, "right") - 1
+                    for doc, start in zip(of.tolist(), (places - base[of]).tolist(), strict=True):
+                        starts[doc].append(start)
+                        lengths[doc].append(length)
+                        items[doc] += queries.items[w]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        seg["keys"], seg["row_ids"], seg["ids"], pa.array(n_words),
-                        pa.array([[x[0] for x in h] for h in hits], pa.list_(pa.int32())),
-                        pa.array([[x[1] for x in h] for h in hits], pa.list_(pa.int32())),
-                        pa.array([sorted({i for x in d for i in x}) for d in ids], pa.list_(pa.int64())),
+                        seg["keys"], seg["row_ids"], seg["ids"], seg["n_words"],
+                        pa.array(starts, pa.list_(pa.int32())),
+                        pa.array(lengths, pa.list_(pa.int32())),
+                        pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64())),
                     ],
                     names=["key", "row_id", "doc_id", "n_words", "starts", "lengths", "items"],
                 )
@@ -178,23 +185,17 @@ def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
     return segments.mapInArrow(run, "key long, row_id long, doc_id long, n_words int, starts array<int>, lengths array<int>, items array<long>")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """(row_id, doc_id, n_words, starts, lengths, items) of every document.
+def search_index(segments: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """(row_id, doc_id, n_words, starts, lengths, items) of every indexed document; the index may serve other items later.
 
     slop None: exact occurrences of item windows (starts, lengths in words). slop n: proximity matches, the places
-    of a window's rarest term with all its other terms within n words, in any order.
+    of a window's rarest term with all its other terms within n words, in any order. The index's gap must not be smaller
+    than the window, and larger than slop. Windows are searched in blocks of BLOCK_WINDOWS, so that what the executors hold is bounded.
     """
-    spark = docs.sparkSession
     windows = written(item_windows(items, window).groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
-    terms = windows.select(F.explode("terms").alias("t")).distinct()
-    known = None
-    if terms.limit(MAX_VOCABULARY + 1).count() <= MAX_VOCABULARY:
-        known = np.sort(np.array([r.t for r in terms.collect()], np.int64).view(np.uint64))
-    segments = build_index(docs, known, max(window, (slop or 0) + 1))
-    ranked = written(ordered_windows(windows, term_counts(segments)), "ranked-windows")
-    blocks = max(1, -(-ranked.count() // BLOCK_WINDOWS))
+    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     part = F.pmod(F.xxhash64("terms"), F.lit(blocks))
-    found = [_search(segments, ranked.where(part == k).collect(), slop) for k in range(blocks)]
+    found = [_search(segments, windows.where(part == k).collect(), slop) for k in range(blocks)]
     if blocks == 1:
         return found[0].drop("key")
     joint = reduce(DataFrame.unionByName, found)
@@ -204,13 +205,20 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
     return both.withColumn("items", F.array_distinct("items"))
 
 
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """search_index over a new index of docs."""
+    return search_index(build_index(docs, max(window, (slop or 0) + 1)), items, window, slop)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row_id, doc_id, n_words, n_hit, item_ids, contaminated), one row per document.
 
     Words: A-Z lower-cased runs of ASCII letters, digits and non-ASCII characters. A word inside any occurrence of an item's
     window is hit. Null and empty texts have no words and no hits; items without words have no windows; an item
-    of fewer words than `window` must occur whole. Repeated rows are judged each; no items: nothing is hit. item_ids are distinct, sorted as strings; null item ids are left out.
-    row_id identifies the row of docs (a hash of id and text) for joins back; other columns are not read.
+    of fewer words than `window` must occur whole. Overlapping windows hit a word once, and equal windows of several items
+    (ties) name them all. Repeated rows are judged each; no items: nothing is hit; no documents: no rows. item_ids are
+    distinct, sorted as strings; null item ids are left out. Texts of any length are indexed whole, four bytes a word. row_id identifies
+    the row of docs (a hash of id and text) for joins back; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

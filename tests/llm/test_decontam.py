@@ -2,7 +2,7 @@ import random
 
 from halocline.llm import decontam
 from halocline.llm.common import _ALNUM
-from halocline.llm.decontam import clean_documents, decontaminate, matches
+from halocline.llm.decontam import build_index, clean_documents, decontaminate, matches, search_index
 
 from .helpers import EXTRA, docs, some_texts
 
@@ -48,10 +48,9 @@ def test_random_texts(spark):
     assert found(spark, rows, items, 10) == brute(rows, items, 10)
 
 
-def test_windows_in_blocks_and_without_a_vocabulary(spark, monkeypatch):
+def test_windows_in_blocks(spark, monkeypatch):
     items, rows = list(enumerate(some_texts(9, 20, 12))), list(enumerate(some_texts(10, 30, 40)))
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 7)
-    monkeypatch.setattr(decontam, "MAX_VOCABULARY", 3)
     assert found(spark, rows, items, 3) == brute(rows, items, 3)
 
 
@@ -75,6 +74,18 @@ def test_hot_passage_and_long_text(spark):
     assert {(r[2], r[3]) for r in got} == {(10, "5")}
 
 
+def test_one_index_answers_a_second_benchmark(spark):
+    rows = list(enumerate(some_texts(11, 30, 40)))
+    index = build_index(docs(spark, rows, EXTRA))
+    for seed in (12, 13):
+        items = list(enumerate(some_texts(seed, 20, 9)))
+        got = {(r.doc_id, tuple(sorted(map(str, r["items"])))) for r in search_index(index, item_table(spark, items), 4).collect()}
+        assert got == {(i, tuple(sorted(x for x in its.split(",") if x))) for i, _, _, its in brute(rows, items, 4)}
+    # every word is posted
+    posted = index.selectExpr("sum(size(positions)) n").first().n
+    assert posted == sum(len(words(t)) for _, t in rows)
+
+
 def test_proximity(spark):
     d = docs(spark, ["alpha x beta y gamma", "alpha x x x x x x beta gamma", "beta alpha gamma"])
     got = {r.doc_id: len(r.starts) for r in matches(d, item_table(spark, [(1, "alpha beta gamma")]), slop=4).collect()}
