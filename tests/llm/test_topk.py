@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline.llm import topk
-from halocline.llm.topk import exact_top_k
+from halocline.llm.topk import exact_top_k, local_bounds, sufficient
 
 SCHEMA = "vec_id long, embedding array<float>, label int, block long, ids string, v string"
 
@@ -56,3 +56,24 @@ def test_uneven_lengths_and_large_parts(spark):
 def test_empty_table_and_one_row(spark):
     assert found(spark, []) == []
     assert found(spark, [(0, [1.0])]) == []
+
+
+@pytest.mark.parametrize("skew,most", [(1.0, 1.01), (0.9, 0.5), (0.6, 0.2)])
+def test_cutoffs_save_products_on_skewed_vectors(skew, most):
+    """Products formed, against those of all pairs; the results are exact either way."""
+    rng = np.random.default_rng(0)
+    v = np.floor(256 * rng.normal(size=(2000, 32)) * skew ** np.arange(32)).astype(np.int64)
+    q, ids = v[::50], np.arange(2000)
+    lists = np.array_split(np.argsort(-(v.astype(float) ** 2).sum(axis=0)), 4)
+    cut = np.array(local_bounds(q, ids[::50], v, ids, lists, 5))
+    cost = 0
+    for r, (rows, score, n) in enumerate(sufficient(q, v, cut, lists)):
+        exact = v @ q[r]
+        assert set(np.flatnonzero(exact >= cut[r])) <= set(rows) and (score == exact[rows]).all()
+        cost += n
+    assert cost <= most * q.size * len(v)
+
+
+def test_negative_cutoffs_and_clashing_columns(spark):
+    rows = [(i, [-1.0 - i / 10, -1.0] if i % 5 else [1.0, 1.0]) for i in range(12)]
+    assert found(spark, rows) == brute(rows, lambda i: i % 5 == 0, 5)
