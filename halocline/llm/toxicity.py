@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,22 +31,54 @@ def features_of(word: bytes) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(x, 0) >> 1 for x in names)
 
 
-class _Known(dict):
-    """word -> positions of its selected features; bounded."""
+class _Places(dict):
+    """word -> number of its list of feature positions; 0 for words without features. `of` gives a word's positions."""
 
-    def __init__(self, selected: dict[int, int]):
-        self.selected = selected
+    def __init__(self, of):
+        self.of = of
+        self.forget()
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = tuple(self.selected[f] for f in features_of(word) if f in self.selected)
+    def forget(self) -> None:
+        self.clear()
+        self.lists: list[tuple[int, ...]] = [()]
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.of(word)
+        if found:
+            self.lists.append(found)
+        value = self[word] = len(self.lists) - 1 if found else 0
         return value
 
+    def sparse(self, texts: list[bytes | None], once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature position, count) of every feature that occurs in a text, and each text's number of words.
+
+        once: a word counts once in a text. Looked-up words are forgotten beyond a bound.
+        """
+        if len(self) >= KEPT_WORDS:
+            self.forget()
+        words = [alnum_words_of(t or b"") for t in texts]
+        n_words = np.array([len(w) for w in words], np.int64)
+        words = [set(w) for w in words] if once else words
+        numbers = np.concatenate([np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in words]) if words else np.empty(0, np.int32)
+        at = np.flatnonzero(numbers)
+        rows = np.repeat(np.arange(len(words)), [len(w) for w in words])[at]
+        sizes = np.array([len(x) for x in self.lists])
+        flat = np.array([c for x in self.lists for c in x], np.int64)
+        starts, n = (np.cumsum(sizes) - sizes)[numbers[at]], sizes[numbers[at]]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cols = flat[np.repeat(starts, n) + inner]
+        pairs, counts = np.unique(np.repeat(rows, n) << 32 | cols, return_counts=True)
+        return pairs >> 32, pairs & 0xFFFFFFFF, counts, n_words
+
+
+def selected_places(selected: dict[int, int]) -> _Places:
+    """Of the selected features alone."""
+    return _Places(lambda word: tuple(selected[f] for f in features_of(word) if f in selected))
+
 
-def counted(text: bytes | None, known: _Known) -> Counter:
-    """Selected features of a whole text and how often they occur."""
-    return Counter(f for w in alnum_words_of(text or b"") for f in known[w])
+def length_term(n_words: np.ndarray) -> np.ndarray:
+    """A feature of every text, so that a long text's greater chance to hold some feature can be offset."""
+    return np.log1p(n_words) / 10
 
 
 @dataclass
@@ -59,9 +89,11 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def at_least(self, score: float) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ..."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds - score, -500, 500)))
+    def at_least(self, texts: list[bytes | None], places: _Places) -> np.ndarray:
+        """P(grade >= 1), P(grade >= 2), ... of each text: a row each. The last weight is that of the text's length."""
+        rows, cols, counts, n_words = places.sparse(texts)
+        score = np.bincount(rows, np.log1p(counts) * self.weights[cols], len(texts)) + length_term(n_words) * self.weights[-1]
+        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, penalty: float = 0.1, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -95,48 +127,56 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fits severity grades on at most max_labelled labelled documents, chosen by a hash of the id.
 
-    Grade 0: not toxic. Toxic documents whose indicative features occur at least as often as in the median toxic
-    document have grade 2, the others 1. Indicative features occur in MIN_DOCS toxic documents and MIN_SHARE of them or more, and
-    MIN_RATIO times as often there as elsewhere. They are counted by Spark; only the selected ones, max_features
-    at most, and the sample's counts of them come to the driver.
+    labels (doc_id, severity) gives grades from 0 on; labels (doc_id, toxic) without that column gives two, 0 and 1, so that a
+    single threshold is left. Indicative features occur in MIN_DOCS documents of a grade above 0 and MIN_SHARE of them or more,
+    and MIN_RATIO times as often there as in the others. They are counted by Spark; only the selected ones, max_features at
+    most, and the sample's counts of them come to the driver.
     """
-    short_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "toxic-labels")
-    sample = docs.select("doc_id", F.col("text").cast("binary")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # max_labelled rows
+    spark = docs.sparkSession
+    short_batches(spark)
+    grade = "severity" if "severity" in labels.columns else "toxic"
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy("doc_id").agg(F.greatest(F.lit(0), F.max(grade).cast("int")).alias("grade"))
+    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "graded-labels")
+    sample = docs.select("doc_id", F.col("text").cast("binary")).join(F.broadcast(chosen), "doc_id").select("text", "grade")  # max_labelled rows
+    sample = written(sample, "graded-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (toxic if label else clean).update({f for w in set(alnum_words_of(text or b"")) for f in features_of(w)})
+            if not b.num_rows:
+                continue
+            names: dict[int, int] = {}
+            places = _Places(lambda word, names=names: tuple({names.setdefault(f, len(names)) for f in features_of(word)}))
+            rows, cols, _, _ = places.sparse(b.column(0).to_pylist(), once=True)
+            toxic = b.column(1).to_numpy() > 0
             # features of clean documents matter only beside those of toxic ones, but these may be in other batches
-            names = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], names=["f", "toxic", "clean"])
+            by = [np.bincount(cols[of], minlength=len(names)) for of in (toxic[rows], ~toxic[rows])]
+            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), *map(pa.array, by)], names=["f", "toxic", "clean"])
 
-    sizes = sample.groupBy("toxic").count().collect()
-    n_toxic, n_clean = (sum(r["count"] for r in sizes if bool(r.toxic) == x) for x in (True, False))
+    sizes = sample.groupBy("grade").count().collect()  # one row per grade
+    n_toxic, n_clean = (sum(r["count"] for r in sizes if (r.grade > 0) == x) for x in (True, False))
     counts = sample.mapInArrow(count, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1.0)) / ((F.col("clean") + 0.5) / (n_clean + 1.0))
     best = counts.where(F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * n_toxic)).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
     top = best.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "f").limit(max_features).collect()
     selected = {r.f: k for k, r in enumerate(top)}
-    shared = docs.sparkSession.sparkContext.broadcast(selected)
+    shared = spark.sparkContext.broadcast(selected)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Known(shared.value)
+        own = selected_places(shared.value)
         for b in batches:
-            found = [counted(t, own) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["toxic", "cols", "n"])
-
-    data = sample.mapInArrow(sparse, "toxic int, cols array<int>, n array<int>").collect()  # max_labelled sparse rows
-    sums = np.array([sum(r.n) for r in data if r.toxic])
-    severe = np.median(sums) if len(sums) else 0
-    grades = np.array([0 if not r.toxic else 2 if sum(r.n) >= severe else 1 for r in data], np.int64)
-    rows = np.repeat(np.arange(len(data)), [len(r.cols) for r in data])
-    cols = np.array([c for r in data for c in r.cols], np.int64)
-    values = np.log1p(np.array([x for r in data for x in r.n], np.float64))
-    weights, thresholds = fit_ordinal(rows, cols, values, grades, len(selected))
+            rows, cols, n, n_words = own.sparse(b.column(0).to_pylist())
+            ends = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (cols, n)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n_words), *lists], names=["grade", "n_words", "cols", "n"])
+
+    data = sample.mapInArrow(sparse, "grade int, n_words long, cols array<int>, n array<int>").collect()  # max_labelled sparse rows
+    shared.destroy()
+    grades = np.array([r.grade for r in data], np.int64)
+    every = np.arange(len(data))
+    rows = np.concatenate([np.repeat(every, [len(r.cols) for r in data]), every]).astype(np.int64)
+    cols = np.concatenate([np.array([c for r in data for c in r.cols], np.int64), np.full(len(data), len(selected), np.int64)])
+    values = np.concatenate([np.log1p(np.array([x for r in data for x in r.n], np.float64)), length_term(np.array([r.n_words for r in data], np.float64))])
+    weights, thresholds = fit_ordinal(rows, cols, values, grades, len(selected) + 1)
     return OrdinalModel(selected, weights, thresholds)
 
 
@@ -144,18 +184,16 @@ def severity(text: Column, model: OrdinalModel, spark) -> Column:
     """struct<severity double, grade int, p_toxic double> of a text column. severity: the expected grade."""
     shared = spark.sparkContext.broadcast(model)  # MAX_FEATURES weights
 
-    @F.pandas_udf("severity double, grade int, p_toxic double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("severity double, grade int, p_toxic double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared.value
-        known = _Known(fitted.features)
+        places = selected_places(fitted.features)
         for texts in batches:
-            out = []
-            for t in texts:
-                found = counted(t, known)
-                tail = fitted.at_least(sum(np.log1p(n) * fitted.weights[k] for k, n in found.items()))
-                mass = np.diff(np.concatenate([[0.0], 1 - tail, [1.0]]))
-                out.append((float(tail.sum()), int(mass.argmax()), float(tail[0]) if len(tail) else 0.0))
-            yield pd.DataFrame(out, columns=["severity", "grade", "p_toxic"])
+            tail = fitted.at_least(texts.to_pylist(), places)
+            edges = np.column_stack([np.ones(len(tail)), tail, np.zeros(len(tail))])
+            mass = edges[:, :-1] - edges[:, 1:]
+            first = tail[:, 0] if tail.shape[1] else np.zeros(len(tail))
+            yield pa.StructArray.from_arrays([pa.array(tail.sum(axis=1)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(first)], names=["severity", "grade", "p_toxic"])
 
     return run(text.cast("binary"))
 
@@ -163,9 +201,10 @@ def severity(text: Column, model: OrdinalModel, spark) -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) of every document, from its whole text.
 
-    toxic: a grade of 1 or more has at least the probability `threshold`. Null and empty texts have no features and get the
-    base rate. Without toxic labels nothing is toxic. A document labelled several times counts with its highest
-    label; null labels are left out. Repeated rows are scored each; other columns are not read.
+    severity is the expected grade, grade the likeliest one (ties: the lower). toxic: a grade of 1 or more has at least the
+    probability `threshold`. Null and empty texts have no features and get the base rate; long texts are scored whole, by counts
+    and a length term. Without labels above grade 0 nothing is toxic; no documents give no rows. A document labelled several times
+    counts with its highest label; null labels are left out. Repeated rows are scored each; other columns are not read.
     """
     model = fit_toxicity(docs, labels, **bounds)
     scored = docs.select(F.col("doc_id").cast("long"), severity(F.col("text"), model, docs.sparkSession).alias("s"))
