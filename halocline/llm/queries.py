@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontam import decontaminate
 from .language_model import score_documents
-from .licenses import scan_licenses, template_bigrams
+from .licenses import TEMPLATES, normalised_words, scan_licenses, template_bigrams
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
 from .simhash import near_duplicates
@@ -77,17 +77,27 @@ def _quoted(text: str) -> str:
 
 
 def _op1_sql() -> str:
-    rows = ", ".join(f"({_quoted(k)}, [{', '.join(map(_quoted, v))}], {len(v)})" for k, v in template_bigrams().items() if v)
+    rows = ", ".join(f"({_quoted(k)}, [{', '.join(map(_quoted, v))}], {len(v)}, {len(normalised_words(TEMPLATES[k]))})" for k, v in template_bigrams().items() if v)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = lambda c: rf"regexp_extract_all({lower.format(c)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return rf"""
-WITH t(id, grams, n) AS (VALUES {rows}),
-l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, CAST(0 AS INTEGER) AS line, text AS unit FROM l WHERE len(lines) > 1
-      UNION ALL SELECT doc_id, CAST(i AS INTEGER) AS line, lines[i] AS unit FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
-w AS (SELECT doc_id, line, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ') AS w FROM u),
-a AS (SELECT *, len(a) AS na FROM (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1)),
-s AS (SELECT doc_id, line, id, 2.0 * len(list_intersect(a, grams))::DOUBLE / (na + n)::DOUBLE AS dice FROM a CROSS JOIN t),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, id) AS r FROM s WHERE dice >= 0.8)
-SELECT doc_id, line, id AS license_id, dice FROM b WHERE r = 1"""
+WITH t(id, grams, n, words) AS (VALUES {rows}),
+d AS (SELECT doc_id, {words("text")} AS w, len(string_split(text, chr(10))) AS n_lines, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, w, n_lines, t.* FROM (SELECT doc_id, w, n_lines, {grams("w")} AS all_grams FROM d WHERE len(w) > 1) CROSS JOIN t WHERE len(list_intersect(all_grams, grams)) >= n * 0.8 / 1.2 - 1e-6),
+e AS (SELECT doc_id, i, len({words("line")}) AS c FROM (SELECT doc_id, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM k)))),
+o AS (SELECT doc_id, i, c, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY i) - c AS BIGINT) AS s FROM e),
+u AS (SELECT doc_id, 0 AS line, FALSE AS wrapped, 0 AS s, len(w) AS e, w, id, grams, n FROM k WHERE n_lines > 1
+      UNION ALL SELECT doc_id, i, FALSE, s, s + c, w, id, grams, n FROM o JOIN k USING (doc_id) WHERE c > 1
+      UNION ALL SELECT doc_id, i, TRUE, s, least(s + words, len(w)), w, id, grams, n FROM o JOIN k USING (doc_id) WHERE c > 0 AND c < words AND s + c < len(w)),
+a AS (SELECT doc_id, line, wrapped, s, e, id, grams, n, {grams("u")} AS a FROM (SELECT *, list_slice(w, s + 1, e) AS u FROM u)),
+f AS (SELECT * FROM (SELECT doc_id, line, wrapped, s, e, id, 2.0 * len(list_intersect(a, grams))::DOUBLE / (len(a) + n)::DOUBLE AS dice FROM a) WHERE dice >= 0.8),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, wrapped ORDER BY dice DESC, id) AS r FROM f),
+r AS (SELECT * FROM b WHERE NOT wrapped AND r = 1
+      UNION ALL SELECT * FROM b x WHERE wrapped AND NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.line > 0 AND y.s < x.e AND x.s < y.e
+                AND (y.dice > x.dice OR (y.dice = x.dice AND (NOT y.wrapped OR y.line < x.line OR (y.line = x.line AND y.id < x.id))))))
+SELECT doc_id, CAST(line AS INTEGER) AS line, id AS license_id, dice,
+       CAST(CASE WHEN line = 0 THEN (SELECT count(*) FROM o WHERE o.doc_id = r.doc_id) WHEN wrapped THEN (SELECT count(*) FROM o WHERE o.doc_id = r.doc_id AND o.s < r.e) ELSE line END AS INTEGER) AS last_line FROM r"""
 
 
 _OP6_SQL = r"""

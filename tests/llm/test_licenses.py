@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from halocline.llm.licenses import TEMPLATES, normalised_words, scan_licenses, template_bigrams
@@ -5,24 +7,40 @@ from halocline.llm.licenses import TEMPLATES, normalised_words, scan_licenses, t
 from .helpers import EXTRA, docs
 
 
-def brute(text, threshold=0.8):
+def brute(text, threshold=0.8, templates=TEMPLATES):
+    """(line, last line, name, dice) by comparing everything with everything."""
     if text is None:
         return []
-    lines = text.split("\n")
-    units = [(0, text)] * (len(lines) > 1) + list(enumerate(lines, 1))
-    found = []
-    for line, unit in units:
-        w = normalised_words(unit)
+    split = lambda x: [w for w in normalised_words(x) if w]
+    lines = [split(x) for x in text.split("\n")]
+    words, starts = [w for x in lines for w in x], [sum(map(len, lines[:k])) for k in range(len(lines))]
+    grams = template_bigrams(templates)
+
+    def dice(w, name):
         a = {f"{x} {y}" for x, y in zip(w, w[1:])}
-        scores = [(-2 * len(a & set(g)) / (len(a) + len(g)), name) for name, g in template_bigrams().items()] if a else []
-        if scores and min(scores)[0] <= -threshold:
-            found.append((line, min(scores)[1], round(-min(scores)[0], 9)))
-    return found
+        return 2 * len(a & set(grams[name])) / (len(a) + len(grams[name])) if a and grams[name] else 0
+
+    def best(w):
+        return min((-dice(w, n), n) for n in grams)
+
+    whole = [(0, len(lines), *best(words))] if len(lines) > 1 else []
+    found = [(d, False, k + 1, n, starts[k], starts[k] + len(x)) for k, x in enumerate(lines) for d, n in [best(x)] if d <= -threshold]
+    for k, x in enumerate(lines):
+        for n in grams:
+            size = len(split(templates[n]))
+            if 0 < len(x) < size and starts[k] + len(x) < len(words):
+                end = min(len(words), starts[k] + size)
+                d = -dice(words[starts[k] : end], n)
+                if d <= -threshold:
+                    found.append((d, True, k + 1, n, starts[k], end))
+    kept = [x for x in found if not x[1] or not any(y < x and y[4] < x[5] and x[4] < y[5] for y in found)]
+    out = [(0, last, n, round(-d, 9)) for _, last, d, n in whole if d <= -threshold]
+    return out + [(x[2], sum(s < x[5] for s in starts) if x[1] else x[2], x[3], round(-x[0], 9)) for x in kept]
 
 
 def found(spark, texts, schema=EXTRA):
     rows = scan_licenses(docs(spark, texts, schema)).collect()
-    return sorted((r.doc_id, r.line, r.license_id, round(r.dice, 9)) for r in rows)
+    return sorted((r.doc_id, r.line, r.last_line, r.license_id, round(r.dice, 9)) for r in rows)
 
 
 def test_every_template_is_found_in_itself_and_near_itself(spark):
@@ -32,7 +50,28 @@ def test_every_template_is_found_in_itself_and_near_itself(spark):
         texts += [t, "x\n" + t.upper() + "\ny", " ".join(w[: -max(1, len(w) // 12)]), t + " and more", "  " + t.replace(" ", " ,\t")]
     want = sorted((k, *row) for k, t in enumerate(texts) for row in brute(t))
     assert found(spark, texts) == want
-    assert {r[2] for r in want} == set(TEMPLATES)
+    assert {r[3] for r in want} == set(TEMPLATES)
+
+
+@pytest.mark.parametrize("width", [30, 72])
+def test_wrapped_notices_inside_longer_texts(spark, width):
+    texts = []
+    for k, t in enumerate(TEMPLATES.values()):
+        comment = ["", "# ", " * "][k % 3]
+        body = "\n".join(comment + x for x in textwrap.wrap(t, width))
+        texts.append("import os\n\n" * (k % 2) + f"{body}\n\ndef main():\n" + "    return some(value, other, 1)\n" * 30)
+    want = sorted((k, *row) for k, t in enumerate(texts) for row in brute(t))
+    assert found(spark, texts) == want
+    assert {r[3] for r in want} == set(TEMPLATES)
+
+
+def test_overlapping_spans_small_templates_and_no_templates(spark):
+    templates = {"ab": "a b", "one": "one", "long": "a b c d e f g h i j", "twin": "a b c d e f g h i j"}
+    texts = ["a\nb", "a b", "x\na b c d\ne f g h i j\na b", "a b c d\n\ne f\ng h i\nj k l", "a b c d e\nf g h i\na b c d e f\ng h i j"]
+    got = sorted((r.doc_id, r.line, r.last_line, r.license_id, round(r.dice, 9)) for r in scan_licenses(docs(spark, texts, EXTRA), templates).collect())
+    assert got == sorted((k, *row) for k, t in enumerate(texts) for row in brute(t, templates=templates))
+    assert (1, 1, 1, "ab", 1.0) in got
+    assert scan_licenses(docs(spark, texts), {}).count() == 0 and scan_licenses(docs(spark, texts), {"one": "one"}).count() == 0
 
 
 def test_texts_without_findings(spark):
