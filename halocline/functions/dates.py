@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SPLIT_TRAIN, SPLIT_DEV, SPLIT_CAL, SPLIT_TEST, SPLIT_PURGED = 0, 1, 2, 3, 255
 HARMONIC_PERIOD_DAYS = 365.25
+# The months of the seasons. The split codes above are stored in tables and so are fixed too.
 SEASONS = {"DJF": (12, 1, 2), "MAM": (3, 4, 5), "JJAS": (6, 7, 8, 9), "ON": (10, 11)}
 
 

@@ -53,7 +53,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def rounded_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle kilometres by the two-argument arc tangent, rounded half up."""
     half = lambda d: F.pow(F.sin(F.radians(d) / 2), 2)
-    a = half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon2 - lon1)
+    a = clamp(half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon2 - lon1), 0.0, 1.0)
     return F.floor(F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a)) + 0.5)
 
 
@@ -72,13 +72,15 @@ def nearest_cell(lat: Column, lon: Column, grid: Grid = DEFAULT_GRID, ties: str
     return nearest_index(lat, grid.lat0, grid.step, grid.ny, ties), nearest_index(lon, grid.lon0, grid.step, grid.nx, ties)
 
 
-def right_closed_bin(value: Column, first_edge: float, step: float) -> Column:
+def right_closed_bin(value: Column, first_edge: float, step: float, places: int = 3) -> Column:
     """Bin of (lo, hi] intervals; a value on the lowest edge falls out (bin -1).
 
-    Computed in scaled integers: grid coordinates are multiples of a thousandth of a degree.
+    Computed in scaled integers: coordinates and step are multiples of 10^-places degrees; a finer source needs more places.
     """
-    scaled = F.round((value - first_edge) * 1000).cast("long")
-    width = round(step * 1000)
+    width = round(step * 10**places)
+    if abs(width - step * 10**places) > 1e-6:
+        raise ValueError(f"a step of {step} needs more than {places} places")
+    scaled = F.round((value - first_edge) * 10**places).cast("long")
     return (F.ceil(scaled / F.lit(width)) - 1).cast("int")
 
 

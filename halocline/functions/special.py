@@ -48,3 +48,9 @@ def inside_interval(mean: Column, sigma: Column, true: Column, level: float, alp
 
 def huber(e: Column, delta: float = 1.0) -> Column:
     return F.when(F.abs(e) <= delta, 0.5 * e * e).otherwise(delta * (F.abs(e) - 0.5 * delta))
+
+
+def uniform(seed: int, *cols: str) -> Column:
+    """A reproducible number in (0, 1) per row: 52 bits of the MD5 of seed and columns, which other engines can form as well."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)

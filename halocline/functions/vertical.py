@@ -24,6 +24,11 @@ def _array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once: what a lambda repeats is worked out again each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def to_standard_depths(values: Column, source_depths: list[float], depths: tuple = STANDARD_DEPTHS_M) -> Column:
     """Fixed source levels (ascending) -> standard depths, linear in depth; missing inner levels count as 0.
 
@@ -51,24 +56,24 @@ def ragged_to_standard(samples: Column, depths: tuple = STANDARD_DEPTHS_M, tol:
     Two valid samples at least. With nothing above, the shallowest sample stands in if it is within tol. Of equal depths the
     samples are ordered by temperature.
     """
-    good = F.array_sort(F.filter(F.transform(samples, lambda s: F.struct(s["depth"].cast("double").alias("depth"), s["temp"].cast("double").alias("temp"))), lambda s: s["depth"].isNotNull() & s["temp"].isNotNull()))
+    sample = lambda s: F.struct(s["depth"].cast("double").alias("depth"), s["temp"].cast("double").alias("temp"))
+    good = F.array_sort(F.filter(F.transform(samples, sample), lambda s: s["depth"].isNotNull() & s["temp"].isNotNull()))
 
-    def at(d: Column) -> Column:
-        above = F.element_at(F.filter(good, lambda s: s["depth"] <= d), -1)
+    def at(good: Column, d: Column) -> Column:
+        # the deepest sample at or above, the shallowest at or below; NULL where there is none
+        above = F.try_element_at(F.filter(good, lambda s: s["depth"] <= d), F.lit(-1))
         below = F.get(F.filter(good, lambda s: s["depth"] >= d), F.lit(0))
+        return bound(F.struct(above.alias("a"), below.alias("b")), lambda x: between(x["a"], x["b"], d))
+
+    def between(above: Column, below: Column, d: Column) -> Column:
         linear = F.when(above["depth"] == below["depth"], above["temp"]).otherwise(
             above["temp"] + (below["temp"] - above["temp"]) / F.nullif(below["depth"] - above["depth"], F.lit(0.0)) * (d - above["depth"])
         )
-        has_above = F.exists(good, lambda s: s["depth"] <= d)
-        return F.when(~has_above, F.when(below["depth"] - d <= tol, F.get(good, F.lit(0))["temp"])).when(
-            (d - above["depth"] <= tol) & (below["depth"] - d <= tol), linear
-        )
+        first = F.when(below["depth"] - d <= tol, below["temp"])
+        return F.when(above.isNull(), first).when((d - above["depth"] <= tol) & (below["depth"] - d <= tol), linear)
 
-    # try_element_at semantics: an empty side gives NULL, never an error
-    def safe(d: Column) -> Column:
-        return F.when(F.size(good) >= 2, at(d))
-
-    return F.transform(_array(depths), safe)
+    # the samples are sorted once, however many depths are asked for
+    return bound(good, lambda g: F.transform(_array(depths), lambda d: F.when(F.size(g) >= 2, at(g, d))))
 
 
 def isotherm_depth(temps: Column, iso: float, depths: tuple = STANDARD_DEPTHS_M, strict_surface: bool = False) -> Column:
@@ -104,10 +109,14 @@ def mixed_layer_depth(temps: Column, depths: tuple = STANDARD_DEPTHS_M, delta: f
     k = min(range(len(depths)), key=lambda i: (abs(depths[i] - ref_depth), i))
     ref = F.get(temps, F.lit(k))
     levels = F.filter(F.arrays_zip(_array(depths).alias("z"), temps.alias("t")), lambda s, i: (i >= k) & s["t"].isNotNull())
-    cold = F.array_position(F.transform(levels, lambda s: s["t"] <= ref - delta), True).cast("int") - 1
-    a, b = F.get(levels, cold - 1), F.get(levels, cold)
-    frac = F.when(b["t"] == a["t"], F.lit(0.0)).otherwise(((ref - delta) - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0.0)))
-    return F.when(ref.isNotNull() & (cold > 0), a["z"] + clamp(frac, 0.0, 1.0) * (b["z"] - a["z"]))
+
+    def crossing(levels: Column, cold: Column) -> Column:
+        a, b = F.get(levels, cold - 1), F.get(levels, cold)
+        frac = F.when(b["t"] == a["t"], F.lit(0.0)).otherwise(((ref - delta) - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0.0)))
+        return F.when(cold > 0, a["z"] + clamp(frac, 0.0, 1.0) * (b["z"] - a["z"]))
+
+    first = lambda levels: F.array_position(F.transform(levels, lambda s: s["t"] <= ref - delta), True).cast("int") - 1
+    return F.when(ref.isNotNull(), bound(levels, lambda v: bound(first(v), lambda cold: crossing(v, cold))))
 
 
 def vertical_difference(temps: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import DEFAULT_GRID, Grid
 from .windows import gradients, mean_3x3, wind_curl_speed
 
+# The names of channels, masks and features, in the order in which stores and models keep them.
 X_VARS = ("sst", "sss", "sla", "cur_u", "cur_v", "wnd_u", "wnd_v")
 X_MASKS = ("sst", "sss", "sla", "cur", "wnd")
 #: variable -> the mask it goes by; both components of a vector share one.

@@ -110,21 +110,19 @@ def match_to_grid(obs: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def nearest_day(targets: DataFrame, available: DataFrame, key: str = "target") -> DataFrame:
-    """targets (target date) -> the nearest available (day), the earlier of two equally near.
+    """targets (target date) -> the nearest available (day), the earlier of two equally near. No gap is too large.
 
-    As-of in both directions by one sort of the union: last day at or before, first day at or after. No gap is too large.
+    As-of in both directions: last day at or before, first day at or after. Only distinct dates are sorted, of which there are
+    366 a year at most; they are joined back to the targets, and a NULL target has no day.
     """
-    both = targets.select(F.col(key).alias("_d"), F.lit(None).cast("date").alias("_have"), F.lit(1).alias("_q")).unionByName(available.select(F.col("day").alias("_d"), F.col("day").alias("_have"), F.lit(0).alias("_q")).distinct())
-    # a year is a bucket; the last day before it and the first one after it are carried in, however far off
-    both = both.withColumn("_b", F.year("_d"))
-    years = both.where("_b is not null").groupBy("_b").agg(F.min("_have").alias("_low"), F.max("_have").alias("_high"))
-    by_year = Window.orderBy("_b")  # one row a year
-    past, coming = F.last("_high", True).over(by_year.rowsBetween(Window.unboundedPreceding, -1)), F.first("_low", True).over(by_year.rowsBetween(1, Window.unboundedFollowing))
-    carried = years.select("_b", past.alias("_past"), coming.alias("_coming")).select("_b", F.explode(F.array("_past", "_coming")).alias("_have")).where("_have is not null")
-    spread = both.unionByName(carried.select(F.col("_have").alias("_d"), "_have", F.lit(0).alias("_q"), "_b"))
-    w = Window.partitionBy("_b").orderBy("_d", "_q")
-    before, after = F.last("_have", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_have", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = spread.select("_d", "_q", before.alias("_a"), after.alias("_z")).where("_q = 1")
+    wanted = targets.select(F.col(key).alias("_d")).where("_d is not null").distinct()
+    have = available.select(F.col("day").alias("_d")).where("_d is not null").distinct()
+    both = wanted.withColumn("_have", F.lit(None).cast("date")).unionByName(have.withColumn("_have", F.col("_d")))
+    w = Window.orderBy("_d")  # dates of the calendar; those of one date are peers
+    before = F.last("_have", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("_have", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    found = both.select("_d", "_have", before.alias("_a"), after.alias("_z")).where("_have is null")
     gap_a, gap_z = F.date_diff("_d", "_a"), F.date_diff("_z", "_d")
     near = F.when(F.col("_z").isNull() | (gap_a <= gap_z), F.col("_a")).otherwise(F.col("_z"))
-    return found.select(F.col("_d").alias(key), near.alias("day"))
+    days = found.select("_d", near.alias("day"))
+    return targets.join(days, targets[key] == days["_d"], "left").select(*[targets[c] for c in targets.columns], days["day"])

@@ -70,7 +70,7 @@ def score_network(rows: DataFrame, model_path: str, inputs: str, outputs: dict[s
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(b.schema.get_field_index("_in")).to_pylist(), np.float32)
+            x = b.column(b.schema.get_field_index("_in")).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
             found = session.run(list(outputs), {feed: x})
             own = [b.column(b.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(list(np.asarray(o, np.float32).reshape(len(x), -1)), pa.list_(pa.float32())) for o in found]], names=[*keep, *outputs])
@@ -114,17 +114,24 @@ def physical_inputs(x: DataFrame, norm: dict[str, tuple[float, float]]) -> DataF
 
 
 def ar1_recurrence(noise: DataFrame, keys: list[str], rho: float = 0.9, value: str = "eta") -> DataFrame:
-    """noise (keys, t, eta) -> adds x: x_t = rho x_(t-1) + sqrt(1 - rho^2) eta_t. A group is one cell's series, in time order."""
+    """noise (keys, t, eta) -> adds x: x_t = rho x_(t-1) + sqrt(1 - rho^2) eta_t. A group is one cell's series, in time order.
+
+    Within blocks of a bounded number of steps the recurrence is a sum of eta_s rho^(t - s), taken with one cumulative sum.
+    """
     kinds = dict(noise.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "t", value]) + ", x double"
     gain = float(np.sqrt(1 - rho * rho))
+    # powers within a block stay above 1e-6, so that the quotients lose few digits
+    block = max(1, int(np.log(1e-6) / np.log(rho))) if 0 < rho < 1 else 1
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        x, out = 0.0, []
-        for e in rows[value]:
-            x = rho * x + gain * e
-            out.append(x)
+        eta, out, last = rows[value].to_numpy(float), np.empty(len(rows)), 0.0
+        for k in range(0, len(eta), block):
+            part = eta[k : k + block]
+            power = rho ** np.arange(1, len(part) + 1)
+            out[k : k + block] = power * (last + np.cumsum(gain * part / power))
+            last = out[k + len(part) - 1]
         return rows.assign(x=out)[[*keys, "t", value, "x"]]
 
     return noise.select(*keys, "t", value).groupBy(*keys).applyInPandas(one, schema)

@@ -11,14 +11,14 @@ MIN_VALID_FRACTION = 0.5
 ALIGNED_TOL = 1e-6
 
 
-def block_mean(fine: DataFrame, value: str = "v", keys: tuple[str, ...] = ("day",), grid: Grid = DEFAULT_GRID, min_valid: float = MIN_VALID_FRACTION) -> DataFrame:
+def block_mean(fine: DataFrame, value: str = "v", keys: tuple[str, ...] = ("day",), grid: Grid = DEFAULT_GRID, min_valid: float = MIN_VALID_FRACTION, places: int = 3) -> DataFrame:
     """fine (keys, lat, lon, value) -> (keys, i, j, value, n_valid, n_total): mean of the valid source pixels of each cell.
 
     Bins are right-closed, so a pixel on the lowest edge falls out. The mean is kept if at least min_valid of the cell's source
-    pixels are valid. Partial aggregation leaves one row per cell and task to shuffle, however fine the source is.
+    pixels are valid. places: decimal places of the source's coordinates. Partial aggregation leaves one row per cell and task to shuffle, however fine the source is.
     """
-    i = right_closed_bin(F.col("lat"), grid.lat0 - grid.step / 2, grid.step)
-    j = right_closed_bin(F.col("lon"), grid.lon0 - grid.step / 2, grid.step)
+    i = right_closed_bin(F.col("lat"), grid.lat0 - grid.step / 2, grid.step, places)
+    j = right_closed_bin(F.col("lon"), grid.lon0 - grid.step / 2, grid.step, places)
     binned = fine.select(*keys, i.alias("i"), j.alias("j"), value).where(F.col("i").between(0, grid.ny - 1) & F.col("j").between(0, grid.nx - 1))
     n, total = F.count(value), F.count(F.lit(1))
     return binned.groupBy(*keys, "i", "j").agg(F.when((n > 0) & (n >= total * min_valid), F.avg(value)).alias(value), n.alias("n_valid"), total.alias("n_total"))

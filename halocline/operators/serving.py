@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def neighbour_days(days: DataFrame) -> DataFrame:
     return days.select("day").distinct().select("day", F.lag("day").over(w).alias("previous"), F.lead("day").over(w).alias("next"))
 
 
+def day_indices(days: DataFrame) -> DataFrame:
+    """(day, t): each served day's place on the time axis, from 0; dates of a calendar, small enough for one sort."""
+    return days.select("day").distinct().select("day", (F.row_number().over(Window.orderBy("day")) - 1).alias("t"))
+
+
 def day_payload(fields: DataFrame, date: str, model: str) -> DataFrame:
     """Rows of one (date, model): partition columns, so only their files are read."""
     return fields.where((F.col("day") == F.to_date(F.lit(date))) & (F.col("model") == model))
@@ -91,15 +98,17 @@ def distance_ticks(total_km: Column) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.floor(total_km).cast("long"), step.cast("long"))
 
 
-def matched_preset(lines: DataFrame, presets: DataFrame, tol: float = 0.25) -> DataFrame:
-    """lines and presets (…, a_lat, a_lon, b_lat, b_lon): the first preset (by rank) whose four coordinates are within tol.
+def matched_preset(lines: DataFrame, presets: list[tuple], tol: float = 0.25) -> DataFrame:
+    """lines (line_id, a_lat, a_lon, b_lat, b_lon) -> the name of the first preset whose four coordinates are within tol.
 
-    Presets are a fixed short list.
+    presets: a short list of (rank, name, a_lat, a_lon, b_lat, b_lon), held in the plan; each line is judged where it is read.
     """
-    close = [F.abs(F.col(f"l.{c}") - F.col(f"p.{c}")) < tol for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
-    hits = lines.alias("l").join(F.broadcast(presets.alias("p")), close[0] & close[1] & close[2] & close[3])
-    first = hits.groupBy("l.line_id").agg(F.min(F.struct("p.rank", "p.name")).alias("m"))
-    return lines.select("line_id").join(first, "line_id", "left").select("line_id", F.col("m.name").alias("preset"))
+    ends = ("a_lat", "a_lon", "b_lat", "b_lon")
+    first = F.lit(None).cast("string")
+    for _, name, *at in sorted(presets, reverse=True):
+        close = reduce(Column.__and__, [F.abs(F.col(c) - F.lit(x)) < tol for c, x in zip(ends, at, strict=True)])
+        first = F.when(close, F.lit(name)).otherwise(first)
+    return lines.select("line_id", first.alias("preset"))
 
 
 def clamped_points(df: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:

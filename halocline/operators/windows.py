@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import uniform
+
 
 def trailing_window(filled: DataFrame, k: int, value: str = "v", keys: tuple[str, ...] = ("i", "j"), usable: Column | None = None) -> DataFrame:
     """Adds win and win_mask (arrays of the days t-k+1..t, oldest first): 0 with mask 0 outside the data, where missing or not usable.
@@ -133,17 +135,14 @@ def tile_weights(cells: DataFrame, ny: int, nx: int, tile: int, core: int, min_w
     return kept.join(F.broadcast(total)).select("oi", "oj", "wet_fraction", (F.col("wet_fraction") / F.col("_t")).alias("p"))  # one row of totals
 
 
-def uniform_key(seed: int, *cols: str) -> Column:
-    """A reproducible number in (0, 1) per row, from a hash."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, id_cols: list[str], seed: int = 0) -> DataFrame:
     """n rows without replacement, with chances by weight: the smallest exponential keys. A top-n, not a sort."""
-    key = -F.log(uniform_key(seed, *id_cols)) / F.col(weight)
+    key = -F.log(uniform(seed, *id_cols)) / F.col(weight)
     return df.where(F.col(weight) > 0).withColumn("_k", key).orderBy("_k", *id_cols).limit(n).drop("_k")
 
 
 def sample_rows(df: DataFrame, n: int, id_cols: list[str], seed: int = 0) -> DataFrame:
     """n rows by a hash of their ids, the same on every run; sample before features are built."""
-    return df.withColumn("_k", F.xxhash64(F.lit(seed), *id_cols)).orderBy("_k", *id_cols).limit(n).drop("_k")
+    return df.withColumn("_k", uniform(seed, *id_cols)).orderBy("_k", *id_cols).limit(n).drop("_k")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo
 from ..operators import align, climatology, features, masks, qc, regrid, windows
 from . import adapters as A
-from .registry import CELLS, FILLED, LEVELS, MONTHLY, OBS, SPLIT, query, r6
+from .registry import CELLS, FIELD, FILLED, LEVELS, MONTHLY, OBS, SPLIT, query, r6, uniform_sql
 
 COARSE = geo.Grid(ny=10, nx=24)
 SHIFTED = geo.Grid(lat0=5.2, lon0=45.2, ny=9, nx=23)
@@ -61,10 +61,9 @@ def regrid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.bilinear(src, COARSE, keys=(), grid=SHIFTED).where("v is not null").select("i", "j", r6("v").alias("v"))
 
 
-@query(f"WITH {OBS} SELECT CAST(day AS DATE) AS day, i, j, round(avg(v), 6) AS v FROM obs WHERE year(day) = 1996 GROUP BY day, i, j")
+@query(f"WITH {OBS} SELECT CAST(day AS DATE) AS day, i, j, round(avg(v), 6) AS v FROM obs GROUP BY day, i, j")
 def regrid_dispatch_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = A.obs(spark, sf_dir).where(F.year("day") == 1996)
-    means = o.groupBy("day", "lat", "lon").agg(F.avg("v").alias("v"))
+    means = A.obs(spark, sf_dir).groupBy("day", "lat", "lon").agg(F.avg("v").alias("v"))
     return regrid.to_grid(means, COARSE, grid=COARSE).withColumn("v", r6("v"))
 
 
@@ -253,14 +252,14 @@ def padded_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pad_grid(A.monthly_grid(spark, sf_dir), 10, 24, ["sst"]).withColumn("sst", r6("sst"))
 
 
-@query()
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY -ln({uniform_sql(0, 'o_orderkey')}) / o_totalprice, o_orderkey LIMIT 500")
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample is the feature: 500 orders with chances by price, the same on every run."""
     o = A.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return windows.weighted_sample(o, "o_totalprice", 500, ["o_orderkey"])
 
 
-@query()
+@query(f"WITH {FIELD} SELECT day, i, j, round(v, 6) AS v FROM field ORDER BY {uniform_sql(0, 'day', 'i', 'j')}, day, i, j LIMIT 500")
 def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample is the feature: 500 (day, cell) rows by hash, before anything is joined to them."""
     return windows.sample_rows(A.field(spark, sf_dir), 500, ["day", "i", "j"]).withColumn("v", r6("v"))

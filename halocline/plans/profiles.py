@@ -70,13 +70,18 @@ def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("point", "i", "j", r6(geo.haversine_km(F.col("lat"), F.col("lon"), g.lat(F.col("i")), g.lon(F.col("j"))), 4).alias("km"))
 
 
-@query(f"WITH {POINTS} SELECT a.wmo AS a, b.wmo AS b, round({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS km, CAST(floor({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} + 0.5e0) AS BIGINT) AS rounded FROM floats a JOIN floats b ON a.day = b.day AND a.wmo < b.wmo AND a.wmo % 50 = b.wmo % 50")
+_HOME = "home AS (SELECT n_nationkey AS nation, -40e0 + 4 * n_nationkey AS a_lat, -170e0 + 13 * n_nationkey AS a_lon FROM nation)"
+
+
+@query(f"WITH {POINTS}, {_HOME} SELECT p.point, h.nation, round({haversine_sql('p.lat', 'p.lon', 'h.a_lat', 'h.a_lon')}, 4) AS km, CAST(floor({haversine_sql('p.lat', 'p.lon', 'h.a_lat', 'h.a_lon')} + 0.5e0) AS BIGINT) AS rounded FROM points p JOIN customer ON c_custkey = p.point JOIN home h ON h.nation = c_nationkey")
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = A.floats(spark, sf_dir)
-    a, b = f.alias("a"), f.alias("b")
-    joined = a.join(b, F.expr("a.day = b.day and a.wmo % 50 = b.wmo % 50 and a.wmo < b.wmo"))
-    at = [F.col(c) for c in ("a.lat", "a.lon", "b.lat", "b.lon")]
-    return joined.select(F.col("a.wmo").alias("a"), F.col("b.wmo").alias("b"), r6(geo.haversine_km(*at), 4).alias("km"), geo.rounded_km(*at).alias("rounded"))
+    """Every point and the home port of its nation."""
+    n = F.col("n_nationkey")
+    home = A.table(spark, sf_dir, "nation").select(n.alias("nation"), (-40.0 + 4 * n).alias("a_lat"), (-170.0 + 13 * n).alias("a_lon"))
+    nations = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), F.col("c_nationkey").alias("nation"))
+    joined = A.points(spark, sf_dir).join(nations, "point").join(home, "nation")
+    at = [F.col(c) for c in ("lat", "lon", "a_lat", "a_lon")]
+    return joined.select("point", "nation", r6(geo.haversine_km(*at), 4).alias("km"), geo.rounded_km(*at).alias("rounded"))
 
 
 @query(f"""WITH {POINTS}, h AS (SELECT p.point, f.wmo, {haversine_sql('p.lat', 'p.lon', 'f.lat', 'f.lon')} AS km FROM points p JOIN floats f ON abs(date_diff('day', p.day, f.day)) <= 2),
@@ -92,15 +97,15 @@ def day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.day_window(A.floats(spark, sf_dir), F.to_date(F.lit("2024-01-05")), day="day").select("wmo", "day", F.round("lat", 3).alias("lat"))
 
 
-@query(f"""WITH {LEVELS}, g AS (SELECT key, depth, avg(CASE WHEN flag IN ('A', 'N') THEN CASE WHEN mode = 'F' THEN temp - 0.5e0 ELSE temp END END) AS temp FROM levels WHERE key % 3 = 0 GROUP BY key, depth),
+@query(f"""WITH {LEVELS}, g AS (SELECT key, depth, avg(CASE WHEN flag IN ('A', 'N') THEN CASE WHEN mode = 'F' THEN temp - 0.5e0 ELSE temp END END) AS temp FROM levels GROUP BY key, depth),
 ok AS (SELECT * FROM g WHERE temp IS NOT NULL), q AS (SELECT k.key, d.d FROM (SELECT key FROM ok GROUP BY key HAVING count(*) >= 2) k CROSS JOIN (VALUES (30e0), (100e0), (200e0)) d(d)),
 a AS (SELECT q.key, q.d, max(depth) AS z0, arg_max(temp, depth) AS t0 FROM q JOIN ok ON ok.key = q.key AND depth <= q.d GROUP BY 1, 2), b AS (SELECT q.key, q.d, min(depth) AS z1, arg_min(temp, depth) AS t1 FROM q JOIN ok ON ok.key = q.key AND depth >= q.d GROUP BY 1, 2),
 v AS (SELECT q.key, q.d, CASE WHEN z0 IS NULL THEN CASE WHEN z1 - q.d <= 10 THEN t1 END WHEN q.d - z0 <= 10 AND z1 - q.d <= 10 THEN CASE WHEN z0 = z1 THEN t0 ELSE t0 + (t1 - t0) / (z1 - z0) * (q.d - z0) END END AS t FROM q LEFT JOIN a ON a.key = q.key AND a.d = q.d LEFT JOIN b ON b.key = q.key AND b.d = q.d),
 o AS (SELECT key, 5e0 + (key * 7 % 240) / 10 AS lat, 45e0 + (key * 11 % 590) / 10 AS lon FROM (SELECT DISTINCT key FROM g)), c AS (SELECT *, CAST(least(greatest(ceil((lat - 5.125e0) / 0.25e0 - 0.5e0), 0), 99) AS INTEGER) AS cell_i, CAST(least(greatest(ceil((lon - 45.125e0) / 0.25e0 - 0.5e0), 0), 239) AS INTEGER) AS cell_j FROM o)
 SELECT c.key AS wmo, cell_i, cell_j, round({haversine_sql('lat', 'lon', '(5.125e0 + 0.25e0 * cell_i)', '(45.125e0 + 0.25e0 * cell_j)')}, 4) AS dist_km, round(max(t) FILTER (d = 30), 6) AS t_30, round(max(t) FILTER (d = 100), 6) AS t_100, round(max(t) FILTER (d = 200), 6) AS t_200 FROM c LEFT JOIN v ON v.key = c.key GROUP BY ALL""")
 def build_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third order as a float's profile: good levels, standard depths, nearest cell."""
-    lv = A.levels(spark, sf_dir).where("key % 3 = 0")
+    """Orders as floats' profiles: good levels, standard depths, nearest cell."""
+    lv = A.levels(spark, sf_dir)
     flag = F.when(F.col("flag").isin("A", "N"), "1").otherwise("4")
     # lines of one depth are averaged first, each by its own mode
     good = lv.select("key", "depth", qc.good_temperature(F.col("temp"), F.col("temp") - 0.5, flag, flag, F.when(F.col("mode") == "F", "D").otherwise("R")).alias("t"))
@@ -149,9 +154,10 @@ def wet_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.wet_points(p, A.cells(spark, sf_dir)).select("point", "i", "j")
 
 
-@query(f"""WITH {OBS}, d AS (SELECT DISTINCT day FROM obs WHERE i = 3), t AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS target FROM lineitem)
-SELECT target, arg_min(d.day, abs(date_diff('day', target, d.day)) * 100000 + date_diff('day', DATE '1990-01-01', d.day)) AS day FROM t JOIN d ON abs(date_diff('day', target, d.day)) < 366 GROUP BY target""")
+@query(f"""WITH {OBS}, d AS (SELECT DISTINCT CAST(date_trunc('quarter', day) AS DATE) AS day FROM obs), t AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS target FROM lineitem)
+SELECT target, arg_min(d.day, abs(date_diff('day', target, d.day)) * 100000 + date_diff('day', DATE '1990-01-01', d.day)) AS day FROM t CROSS JOIN d GROUP BY target""")
 def nearest_available_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = A.obs(spark, sf_dir).where("i = 3").select("day")
+    """The nearest first day of a quarter with orders to every day of shipping."""
+    have = A.obs(spark, sf_dir).select(F.trunc("day", "quarter").alias("day"))
     targets = A.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("target")).distinct()
     return matching.nearest_day(targets, have)

@@ -56,3 +56,8 @@ FILLED = f"{EVENTS}, cal AS (SELECT CAST(unnest(generate_series(min(day), max(da
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     # rounding may lift the term above 1 for antipodes only, which these places are not; least() would turn NULL into 1
     return f"12742e0 * asin(sqrt(power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2), 2)))"
+
+
+def uniform_sql(seed: int, *cols: str) -> str:
+    """functions.special.uniform in DuckDB's SQL."""
+    return f"((CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(cols)})), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"

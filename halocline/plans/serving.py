@@ -42,10 +42,7 @@ SELECT day, 9 - i AS row, j AS col, CASE WHEN wet = 1 AND bottom = 1 AND v IS NO
 CASE WHEN wet = 0 OR (bottom = 1 AND v IS NULL) THEN 0 ELSE 255 END AS alpha, CASE WHEN wet = 0 THEN 1 WHEN bottom = 0 THEN 2 ELSE 0 END AS status FROM k""")
 def map_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = A.field(spark, sf_dir).select("day", "i", "j", F.when(F.col("i") + F.col("j") > 5, F.col("v")).alias("v"), F.when(F.pmod(F.col("i") * 7 + F.col("j") * 5, F.lit(11)) == 0, 0).otherwise(1).alias("wet"), F.when(F.col("i") < 2, 0).otherwise(1).alias("bottom"))
-    kind = colour.pixel_kind(F.col("v"), F.col("wet"), F.col("bottom"), F.col("i"), F.col("j"))
-    rows = f.withColumn("k", kind)
-    grey = F.when(F.col("k") == "hatch_light", 128).when(F.col("k") == "hatch_dark", 96)
-    return rows.select("day", (9 - F.col("i")).alias("row"), F.col("j").alias("col"), F.when(F.col("k") == "value", colour.palette_index(F.col("v"), "mean")).alias("idx"), grey.alias("grey"), F.when(F.col("k").isin("land", "missing"), 0).otherwise(255).alias("alpha"), colour.prediction_status(F.col("wet"), F.col("bottom")).alias("status"))
+    return reports.map_pixels(f, "mean", 10, keys=("day",))
 
 
 _VIEW = geo.MercatorView()
@@ -72,14 +69,14 @@ _MARKS = [0.5 * d / 200 if d <= 200 else 0.5 + 0.5 * (d - 200) / 800 for d in A.
 _MARK_CTE = "mk(b, m0, m1) AS (VALUES " + ", ".join(f"({k}, {a!r}e0, {b!r}e0)" for k, (a, b) in enumerate(zip(_MARKS, _MARKS[1:], strict=False))) + ")"
 
 
-@query(f"""WITH {BINNED}, {_MARK_CTE}, px AS (SELECT p.key, CAST(y.y AS INTEGER) AS y, y.y / 17e0 AS ny FROM (SELECT DISTINCT key FROM prof WHERE key % 20 = 0) p, range(18) y(y)),
+@query(f"""WITH {BINNED}, {_MARK_CTE}, px AS (SELECT p.key, CAST(y.y AS INTEGER) AS y, y.y / 8e0 AS ny FROM (SELECT DISTINCT key FROM prof) p, range(9) y(y)),
 h AS (SELECT px.*, mk.b, m0, m1, row_number() OVER (PARTITION BY px.key, px.y ORDER BY mk.b) AS r FROM px JOIN mk ON ny >= m0 AND ny <= m1),
 v AS (SELECT px.key, px.y, a.t + (px.ny - h.m0) / (h.m1 - h.m0) * (c.t - a.t) AS value FROM px LEFT JOIN h ON h.key = px.key AND h.y = px.y AND h.r = 1 LEFT JOIN prof a ON a.key = h.key AND a.b = h.b LEFT JOIN prof c ON c.key = h.key AND c.b = h.b + 1)
-SELECT key AS section_id, CAST(x.x AS INTEGER) AS x, y, round(value, 6) AS value, coalesce(CASE WHEN value IS NOT NULL THEN {_ramp_sql('thermal', 'value', 1, 2.0, 32.0)} END, 14) AS r FROM v, range(4) x(x)""")
+SELECT key AS section_id, CAST(x.x AS INTEGER) AS x, y, round(value, 6) AS value, coalesce(CASE WHEN value IS NOT NULL THEN {_ramp_sql('thermal', 'value', 1, 2.0, 32.0)} END, 14) AS r FROM v, range(2) x(x)""")
 def section_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raster of one-column sections; every twentieth profile is drawn, as a client draws single sections."""
-    s = A.binned_profiles(spark, sf_dir).where("key % 20 = 0").select(F.col("key").alias("section_id"), F.lit(0).alias("k"), F.col("temps").alias("mean"))
-    out = serving.section_raster(s, 1, width=4, height=18, depths=A.BIN_DEPTHS)
+    """The raster of one-column sections, one for every profile."""
+    s = A.binned_profiles(spark, sf_dir).select(F.col("key").alias("section_id"), F.lit(0).alias("k"), F.col("temps").alias("mean"))
+    out = serving.section_raster(s, 1, width=2, height=9, depths=A.BIN_DEPTHS)
     return out.select("section_id", "x", "y", r6("value").alias("value"), "r")
 
 
@@ -115,11 +112,11 @@ def report_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.report_slices(report, five).select("model", "basin", "season", "d", r6("rmse").alias("rmse"))
 
 
-@query(f"""WITH {PAIRS}, s AS (SELECT basin, season, d, round(avg(pred - truth), 3) + 0e0 AS bias FROM pairs WHERE d < 7 OR basin = 'AS' GROUP BY 1, 2, 3), g AS (SELECT b.basin, b.season, CAST(k.k AS INTEGER) AS k, s.bias FROM (SELECT DISTINCT basin, season FROM s) b CROSS JOIN range(8) k(k) LEFT JOIN s ON s.basin = b.basin AND s.season = b.season AND s.d = k.k)
+@query(f"""WITH {PAIRS}, s AS (SELECT basin, season, d, round(avg(pred - truth), 3) + 0e0 AS bias FROM pairs GROUP BY 1, 2, 3), g AS (SELECT b.basin, b.season, CAST(k.k AS INTEGER) AS k, s.bias FROM (SELECT DISTINCT basin, season FROM s) b CROSS JOIN range(8) k(k) LEFT JOIN s ON s.basin = b.basin AND s.season = b.season AND s.d = k.k)
 SELECT basin, season, k, bias, bias IS NULL AS is_null FROM g""")
 def report_json_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics as JSON arrays over depth with explicit nulls, read back."""
-    p = A.pairs(spark, sf_dir).where("d < 7 or basin = 'AS'")
+    p = A.pairs(spark, sf_dir)  # no line has number 0, so the first slot is missing
     bias = p.groupBy("basin", "season", "d").agg(r6(F.avg(F.col("pred") - F.col("truth")), 3).alias("bias"))
     arrays = reports.depth_arrays(bias, ["basin", "season"], "d", ["bias"], 8)
     text = reports.json_rows(arrays, ["basin", "season"], ["bias"])
@@ -136,11 +133,14 @@ def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", missing.fixed_digits(v, 2, signed=True).alias("text"), reports.rewritten_url(url).alias("url"), path.alias("path"))
 
 
-@query()
+_HALF = "SELECT b, CASE WHEN b >= 32768 THEN -1e0 ELSE 1e0 END AS sign, b // 1024 % 32 AS ex, b % 1024 AS fr FROM range(65536) r(b)"
+
+
+@query(f"SELECT CAST(b AS INTEGER) AS bits, CASE WHEN ex = 31 THEN NULL WHEN ex = 0 THEN sign * fr / 1024e0 * power(2e0, -14) ELSE sign * (1 + fr / 1024e0) * power(2e0, ex - 15) END + 0e0 AS value FROM ({_HALF})")
 def half_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 65,536 half-precision numbers decoded by integer arithmetic; tests compare them with numpy's."""
     bits = spark.range(65536).select(F.col("id").cast("int").alias("bits"))
-    return bits.select("bits", F.get(reports.half_floats(F.array("bits")), F.lit(0)).alias("value"))
+    return bits.select("bits", (F.get(reports.half_floats(F.array("bits")), F.lit(0)) + F.lit(0.0)).alias("value"))
 
 
 @query("SELECT n_nationkey, CAST(19 + x.x AS INTEGER) AS tx, CAST(12 + y.y AS INTEGER) AS ty FROM nation, range(8) x(x), range(5) y(y)")
@@ -149,9 +149,9 @@ def basemap_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", "tx", F.explode(F.sequence(F.lit(12), F.lit(16))).alias("ty"))
 
 
-@query("SELECT c_custkey, unnest(CAST(generate_series(0, CAST(floor(c_acctbal + 1000) AS BIGINT), CASE WHEN c_acctbal + 1000 > 2000 THEN 500 WHEN c_acctbal + 1000 > 1000 THEN 250 ELSE 100 END) AS BIGINT[])) AS tick FROM customer WHERE c_acctbal > -1000")
+@query("SELECT c_custkey, unnest(CAST(generate_series(0, CAST(floor(c_acctbal + 1000) AS BIGINT), CASE WHEN c_acctbal + 1000 > 2000 THEN 500 WHEN c_acctbal + 1000 > 1000 THEN 250 ELSE 100 END) AS BIGINT[])) AS tick FROM customer")
 def distance_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.table(spark, sf_dir, "customer").where("c_acctbal > -1000")
+    c = A.table(spark, sf_dir, "customer")
     return c.select("c_custkey", F.explode(serving.distance_ticks(F.col("c_acctbal") + 1000)).alias("tick"))
 
 
@@ -170,8 +170,7 @@ def wrapped_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field written by month, one range of days read back: other months' files are not opened."""
     s = store.Store(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
-    rows = A.obs(spark, sf_dir).where(F.year("day") == 1997)
-    s.write_days("obs", rows.groupBy("day", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")))
+    s.write_days("obs", A.obs(spark, sf_dir).groupBy("day", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")))
     return s.read_days("obs", "1997-03-10", "1997-05-05").select("day", "i", "j", "n", r6("v", 4).alias("v"))
 
 
@@ -274,5 +273,4 @@ def matched_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines against a fixed list of presets; wide tolerances, so that lines match none, one or several."""
     pts = A.points(spark, sf_dir)
     lines = pts.select(F.col("point").alias("line_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), (F.col("lat") / 2).alias("b_lat"), (F.col("lon") + 10).alias("b_lon"))
-    presets = spark.createDataFrame(_PRESETS, "rank int, name string, a_lat double, a_lon double, b_lat double, b_lon double")
-    return serving.matched_preset(lines, presets, 8.0)
+    return serving.matched_preset(lines, _PRESETS, 8.0)

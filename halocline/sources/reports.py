@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.colour import SEAFLOOR, palette_index, pixel_kind
+from ..functions.colour import SEAFLOOR, palette_index, pixel_kind, prediction_status
 from ..functions.missing import finite
 
 
@@ -30,19 +30,20 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def day_table(fields: DataFrame, wet: str = "wet", bottom: str = "bottom") -> DataFrame:
     """The columns of a day's export: time in days since 1970 and the prediction status."""
-    from ..functions.colour import prediction_status
-
     return fields.withColumns({"time": F.unix_date("day"), "prediction_status": prediction_status(F.col(wet), F.col(bottom))})
 
 
-def map_pixels(field: DataFrame, mode: str, ny: int, value: str = "v") -> DataFrame:
-    """field (i, j, value, wet, bottom) -> (row, col, idx, grey, alpha), north up: palette index, or a grey hatch, or transparent."""
+def map_pixels(field: DataFrame, mode: str, ny: int, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """field (keys, i, j, value, wet, bottom) -> (keys, row, col, idx, grey, alpha, status), north up.
+
+    A pixel has a palette index, or a grey hatch, or is transparent; status is the prediction's.
+    """
     kind = pixel_kind(F.col(value), F.col("wet"), F.col("bottom"), F.col("i"), F.col("j"))
     rows = field.withColumn("_k", kind)
     idx = F.when(F.col("_k") == "value", palette_index(F.col(value), mode))
     grey = F.when(F.col("_k") == "hatch_light", SEAFLOOR[0]).when(F.col("_k") == "hatch_dark", SEAFLOOR[1])
     alpha = F.when(F.col("_k").isin("land", "missing"), 0).otherwise(255)
-    return rows.select((F.lit(ny - 1) - F.col("i")).alias("row"), F.col("j").alias("col"), idx.alias("idx"), grey.alias("grey"), alpha.alias("alpha"))
+    return rows.select(*keys, (F.lit(ny - 1) - F.col("i")).alias("row"), F.col("j").alias("col"), idx.alias("idx"), grey.alias("grey"), alpha.alias("alpha"), prediction_status(F.col("wet"), F.col("bottom")).alias("status"))
 
 
 def rewritten_url(url: Column, prefix: str = "/fallback") -> Column:

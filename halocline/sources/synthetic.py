@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
+from ..functions.special import uniform
 from ..operators.models import ar1_recurrence
 
 
@@ -20,8 +21,7 @@ def cell_table(spark: SparkSession, grid: Grid) -> DataFrame:
 
 def gaussian(seed: int, *cols: str) -> Column:
     """A standard normal number per row, from two hashes (Box-Muller): the same on every run and partitioning."""
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(s), *cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return F.sqrt(-2.0 * F.log(u(seed))) * F.cos(2 * math.pi * u(seed + 1))
+    return F.sqrt(-2.0 * F.log(uniform(seed, *cols))) * F.cos(2 * math.pi * uniform(seed + 1, *cols))
 
 
 def with_sea(cells: DataFrame, grid: Grid, seed: int = 0) -> DataFrame:
@@ -30,7 +30,7 @@ def with_sea(cells: DataFrame, grid: Grid, seed: int = 0) -> DataFrame:
     island = (F.abs(F.col("i") - grid.ny // 2) <= 1) & (F.abs(F.col("j") - grid.nx // 2) <= 1)
     wet = F.when(coast | island, 0).otherwise(1)
     slope = 200.0 + 3800.0 * (1 - F.col("i") / float(grid.ny))
-    jitter = 1 + 0.05 * (2 * (F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(1_000_000)) / 1_000_000.0) - 1)
+    jitter = 1 + 0.05 * (2 * uniform(seed, "i", "j") - 1)
     return cells.withColumn("wet", wet).withColumn("floor_m", F.when(F.col("wet") == 1, slope * jitter).otherwise(0.0))
 
 
@@ -71,7 +71,7 @@ def product_days(spark: SparkSession, grid: Grid, start: str, days: int, source_
 def float_profiles(spark: SparkSession, grid: Grid, start: str, days: int, per_year: int = 200, seed: int = 0) -> DataFrame:
     """Profiles (dt, wmo, lat, lon, data_mode, levels) at hashed places and days, ready for build_matchups."""
     n = max(1, days * per_year // 365)
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(1_000_003)) / 1_000_003.0
+    u = lambda k: uniform(seed + k, "id")
     base = spark.range(n).select(
         F.date_add(F.to_date(F.lit(start)), F.floor(u(1) * days).cast("int")).cast("timestamp").alias("dt"), F.concat(F.lit("79"), F.lpad((F.col("id") % 40).cast("string"), 5, "0")).alias("wmo"),
         (grid.lat0 + u(2) * grid.step * (grid.ny - 1)).alias("lat"), (grid.lon0 + u(3) * grid.step * (grid.nx - 1)).alias("lon"), F.when(F.col("id") % 3 == 0, "R").otherwise("D").alias("data_mode"),

@@ -382,7 +382,7 @@ def test_serving(spark):
     assert (r.depth_m, r.value, r.near_d20, r.near_mld) == (100, 20.0, True, False)
     assert spark.range(1).select(serving.distance_ticks(F.lit(620.0))).first()[0] == [0, 100, 200, 300, 400, 500, 600]
     lines = spark.createDataFrame([(1, 20.1, 50.0, 6.0, 75.0), (2, 0.0, 0.0, 0.0, 0.0)], "line_id int, a_lat double, a_lon double, b_lat double, b_lon double")
-    presets = spark.createDataFrame([(0, "far", 1.0, 1.0, 1.0, 1.0), (1, "near", 20.0, 50.0, 6.0, 75.0)], "rank int, name string, a_lat double, a_lon double, b_lat double, b_lon double")
+    presets = [(0, "far", 1.0, 1.0, 1.0, 1.0), (1, "near", 20.0, 50.0, 6.0, 75.0)]
     assert {r.line_id: r.preset for r in serving.matched_preset(lines, presets).collect()} == {1: "near", 2: None}
 
 
