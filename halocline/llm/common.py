@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,6 +98,24 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidied(run):
+    """A function of Arrow batches that, once its task is done, hands memory it no longer holds back to the system.
+
+    Workers serve one task after another, and what their allocators keep adds to the executor's memory.
+    """
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 def row_key(*cols: Column | str) -> Column:
     """Two equal rows have one key; used to join decisions back when ids may be null or repeat."""
     return F.xxhash64(*cols)
@@ -118,7 +138,7 @@ def alnum_words_of(text: bytes) -> list[bytes]:
 
 
 #: Words that a worker keeps looked up; what it looks up anew is cheap, and its memory adds to the executor's.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 50_000
 
 
 class WordHashes(dict):
@@ -220,27 +240,34 @@ def prefix_sums(df: DataFrame, order: list[str], sums: list[str], partitions: in
         schema = schema.add(f"before_{c}", "double" if dict(df.dtypes)[c] == "double" else "long")
     schema = schema.add("_part", "integer").add("_last", "boolean")
 
-    def local(batches: Iterator) -> Iterator:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         total = {c: 0 for c in sums}
+
+        def done(columns: list, last: bool) -> pa.RecordBatch:
+            ends = np.zeros(len(columns[0]), bool)
+            ends[-1] = last
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(ends), part, np.int32)), pa.array(ends)], names=names)
+
         kept = None
-        for pdf in batches:
-            if not len(pdf):
+        for b in batches:
+            if not b.num_rows:
                 continue
+            columns = list(b.columns)
             for c in sums:
-                v = pdf[c].to_numpy()
-                pdf[f"before_{c}"] = total[c] + np.cumsum(v) - v
-                total[c] += v.sum()
-            pdf["_part"], pdf["_last"] = part, False
+                v = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                up_to = np.cumsum(v)
+                columns.append(pa.array(total[c] + up_to - v))
+                total[c] += up_to[-1]
             if kept is not None:
-                yield kept
-            kept = pdf
+                yield done(kept, False)
+            kept = columns
         if kept is not None:
-            kept.iloc[-1, kept.columns.get_loc("_last")] = True
-            yield kept
+            yield done(kept, True)
 
+    names = schema.names
     ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    rows = written(ranged.mapInPandas(local, schema), "prefix")
+    rows = written(ranged.mapInArrow(tidied(local), schema), "prefix")
     ends = rows.where("_last").select("_part", *[(F.col(f"before_{c}") + F.col(c)).alias(f"_end_{c}") for c in sums])
     up_to = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select("_part", *[F.coalesce(F.sum(f"_end_{c}").over(up_to), F.lit(0)).alias(f"_from_{c}") for c in sums])

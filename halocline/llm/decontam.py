@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words_of, covered, row_key, short_batches, without_rows, written
+from .common import WordHashes, alnum_words_of, covered, row_key, short_batches, tidied, without_rows, written
 
 WINDOW = 10
 #: Windows sent to the executors at once (at most this many times WINDOW terms); more are searched block by block.
@@ -39,7 +39,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                     terms.append(h[s : s + window].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "terms"])
 
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "item_id long, terms array<long>")
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).mapInArrow(tidied(run), "item_id long, terms array<long>")
 
 
 class _Numbers(dict):
@@ -50,10 +50,11 @@ class _Numbers(dict):
         return value
 
 
-def _postings(texts: list[list[bytes]], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(sorted term hashes, end of each term's list, positions, first position of each text) of a batch of tokenised texts."""
+def _postings(texts: list[bytes | None], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]:
+    """(sorted term hashes, end of each term's list, positions, first position and number of words of each text) of a batch of texts."""
     numbers, of_words, places, base, at = _Numbers(), [], [], [], 0
-    for words in texts:
+    for text in texts:
+        words = alnum_words_of(text or b"")
         of_words.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
         places.append(np.arange(at, at + len(words), dtype=np.int32))
         base.append(at)
@@ -65,7 +66,7 @@ def _postings(texts: list[list[bytes]], gap: int) -> tuple[np.ndarray, np.ndarra
     ranks = rank[np.concatenate(of_words)] if of_words else rank[:0]
     order = np.argsort(ranks, kind="stable")
     positions = np.concatenate(places)[order] if places else np.empty(0, np.int32)
-    return hashes[by_hash], np.cumsum(np.bincount(ranks, minlength=len(hashes))).astype(np.int32), positions, base
+    return hashes[by_hash], np.cumsum(np.bincount(ranks, minlength=len(hashes))).astype(np.int32), positions, base, [len(w) for w in of_words]
 
 
 def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
@@ -79,13 +80,12 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [alnum_words_of(t or b"") for t in b.column(2).to_pylist()]
-            terms, ends, positions, base = _postings(texts, gap)
-            lists = [b.column(1), b.column(0), pa.array([len(w) for w in texts], pa.int32()), pa.array(base, pa.int32()), pa.array(terms.view(np.int64)), pa.array(ends), pa.array(positions), b.column(3)]
+            terms, ends, positions, base, n_words = _postings(b.column(2).to_pylist(), gap)
+            lists = [b.column(1), b.column(0), pa.array(n_words, pa.int32()), pa.array(base, pa.int32()), pa.array(terms.view(np.int64)), pa.array(ends), pa.array(positions), b.column(3)]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("_row"), F.col("text").cast("binary"), F.monotonically_increasing_id().alias("_key"))
-    return written(rows.mapInArrow(run, SEGMENT), "postings")
+    return written(rows.mapInArrow(tidied(run), SEGMENT), "postings")
 
 
 class _Postings:
@@ -155,7 +155,7 @@ class _Queries:
 
 
 def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
-    """(key, row_id, doc_id, n_words, starts, lengths, items): one row per document of every segment, for a block of windows."""
+    """(key, row_id, doc_id, n_words, n_hit, starts, lengths, items): one row per document of every segment, for a block of windows."""
     shared = segments.sparkSession.sparkContext.broadcast(_Queries(block))  # BLOCK_WINDOWS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,21 +172,23 @@ def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
                         starts[doc].append(start)
                         lengths[doc].append(length)
                         items[doc] += queries.items[w]
+                n_words = seg["n_words"].to_pylist()
+                n_hit = [int(covered(np.array(s, np.int64), np.array(m, np.int64), n).sum()) if s else 0 for s, m, n in zip(starts, lengths, n_words, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        seg["keys"], seg["row_ids"], seg["ids"], seg["n_words"],
+                        seg["keys"], seg["row_ids"], seg["ids"], seg["n_words"], pa.array(n_hit, pa.int64()),
                         pa.array(starts, pa.list_(pa.int32())),
                         pa.array(lengths, pa.list_(pa.int32())),
                         pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64())),
                     ],
-                    names=["key", "row_id", "doc_id", "n_words", "starts", "lengths", "items"],
+                    names=["key", "row_id", "doc_id", "n_words", "n_hit", "starts", "lengths", "items"],
                 )
 
-    return segments.mapInArrow(run, "key long, row_id long, doc_id long, n_words int, starts array<int>, lengths array<int>, items array<long>")
+    return segments.mapInArrow(tidied(run), "key long, row_id long, doc_id long, n_words int, n_hit long, starts array<int>, lengths array<int>, items array<long>")
 
 
 def search_index(segments: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """(row_id, doc_id, n_words, starts, lengths, items) of every indexed document; the index may serve other items later.
+    """(row_id, doc_id, n_words, n_hit, starts, lengths, items) of every indexed document; the index may serve other items later.
 
     slop None: exact occurrences of item windows (starts, lengths in words). slop n: proximity matches, the places
     of a window's rarest term with all its other terms within n words, in any order. The index's gap must not be smaller
@@ -198,11 +200,19 @@ def search_index(segments: DataFrame, items: DataFrame, window: int = WINDOW, sl
     found = [_search(segments, windows.where(part == k).collect(), slop) for k in range(blocks)]
     if blocks == 1:
         return found[0].drop("key")
-    joint = reduce(DataFrame.unionByName, found)
+    # several blocks: words are counted once all places of a document are together
+    joint = reduce(DataFrame.unionByName, found).drop("n_hit")
     first = {c: F.first(c) for c in ("row_id", "doc_id", "n_words")}
     merged = {c: F.flatten(F.collect_list(c)) for c in ("starts", "lengths", "items")}
-    both = joint.groupBy("key").agg(*[v.alias(c) for c, v in (first | merged).items()]).drop("key")
-    return both.withColumn("items", F.array_distinct("items"))
+    both = joint.groupBy("key").agg(*[v.alias(c) for c, v in (first | merged).items()]).drop("key").withColumn("items", F.array_distinct("items"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_hit = [int(covered(np.array(s, np.int64), np.array(m, np.int64), n).sum()) if s else 0 for s, m, n in zip(*(b.column(k).to_pylist() for k in (3, 4, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n_hit, pa.int64()), *b.columns[3:]], names=[x.split()[0] for x in schema.split(", ")])
+
+    schema = "row_id long, doc_id long, n_words int, n_hit long, starts array<int>, lengths array<int>, items array<long>"
+    return both.mapInArrow(tidied(count), schema)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -220,15 +230,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     distinct, sorted as strings; null item ids are left out. Texts of any length are indexed whole, four bytes a word. row_id identifies
     the row of docs (a hash of id and text) for joins back; other columns are not read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_hit = [int(covered(np.array(s, np.int64), np.array(m, np.int64), n).sum()) if s else 0 for s, m, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.int64()), pa.array(n_hit, pa.int64()), b.column(5)], names=["row_id", "doc_id", "n_words", "n_hit", "items"])
-
-    hit = matches(docs, items, window).mapInArrow(run, "row_id long, doc_id long, n_words long, n_hit long, items array<long>")
+    hit = matches(docs, items, window)
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return hit.select("row_id", "doc_id", "n_words", "n_hit", ids.alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
+    return hit.select("row_id", "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", ids.alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

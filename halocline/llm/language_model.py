@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, new_path, short_batches, words_of, written
+from .common import WordHashes, mixed, new_path, short_batches, tidied, words_of, written
 from .elias_fano import EliasFano, build_trie, ef_encode, from_buffer, search_trie, to_bytes
 
 #: Entries of a shard of the unigram level, and tokens that a shard of the tries stands for.
@@ -195,7 +195,7 @@ def fit_unigrams(training: DataFrame, path: str) -> Unigrams:
                     yield give(*held.taken())
         yield give(*held.taken())
 
-    counts = written(training.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
+    counts = written(training.mapInArrow(tidied(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
     size, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-size // SHARD_WORDS))
     shard = F.shiftrightunsigned(F.shiftrightunsigned("w", 32) * F.lit(shards).cast("long"), 32).cast("int")
@@ -270,7 +270,7 @@ def fit_model(training: DataFrame) -> LanguageModel:
         return pd.DataFrame({"shard": [key[0]], "contexts": [contexts.tobytes()], "words": [(keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()], "counts": [n.astype(np.uint32).tobytes()], "once": [once.tolist()], "tokens": [tokens.tolist()]})
 
     blobs = "shard int, contexts binary, words binary, counts binary"
-    merged = training.mapInArrow(count, blobs).groupBy("shard").applyInPandas(merge, f"{blobs}, once array<long>, tokens array<long>")
+    merged = training.mapInArrow(tidied(count), blobs).groupBy("shard").applyInPandas(merge, f"{blobs}, once array<long>, tokens array<long>")
     merged = written(merged, "bigrams")
     sums = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in ("once", "tokens") for k in range(_BINS)]
     total = merged.agg(*sums).first()
@@ -291,7 +291,7 @@ def fit_model(training: DataFrame) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string())], names=["shard", "name"])
 
     names = [""] * shards
-    for r in written(merged.select("shard", "contexts", "words", "counts").mapInArrow(tries, "shard int, name string"), "tries").collect():  # one row per shard
+    for r in written(merged.select("shard", "contexts", "words", "counts").mapInArrow(tidied(tries), "shard int, name string"), "tries").collect():  # one row per shard
         names[r.shard] = r["name"]
     return LanguageModel(unigrams, path, names, backoff)
 
@@ -328,4 +328,4 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataF
                 total = pa.array(np.full(b.num_rows, model.unigrams.total, np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found["n_tokens"].astype(np.int64)), pa.array(found["n_known"]), total, pa.array(found["base"]), pa.array(found["score"])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

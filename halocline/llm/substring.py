@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, covered, key_bits, maybe_among, rolling, row_key, short_batches, words_of, written
+from .common import WordHashes, covered, key_bits, maybe_among, rolling, row_key, short_batches, tidied, words_of, written
 from .runs import SortedRuns
 
 WINDOW = 50
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                     places.append(np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.int64()), pa.array(digest2, pa.int64()), pa.array(n_words, pa.int32()), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["_id", "_row", "digest", "digest2", "n_words", "grams", "places"])
 
-    return docs.select("_id", "_row", F.col("text").cast("binary")).mapInArrow(run, "_id long, _row long, digest long, digest2 long, n_words int, grams array<long>, places array<int>")
+    return docs.select("_id", "_row", F.col("text").cast("binary")).mapInArrow(tidied(run), "_id long, _row long, digest long, digest2 long, n_words int, grams array<long>, places array<int>")
 
 
 class FingerprintIndex:
@@ -102,7 +102,7 @@ def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 w1, w2 = rolling(h, window)[s].view(np.int64), (rolling(two.of(words), window)[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), r, np.int64)), pa.array(s.astype(np.int32))], names=["w1", "w2", "_id", "_row", "start"])
 
-    return docs.select("_id", "_row", F.col("text").cast("binary"), "at").mapInArrow(run, "w1 long, w2 int, _id long, _row long, start int")
+    return docs.select("_id", "_row", F.col("text").cast("binary"), "at").mapInArrow(tidied(run), "w1 long, w2 int, _id long, _row long, start int")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -186,4 +186,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return judged.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return judged.mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept string")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 K = 5
 SCALE = 256
@@ -46,7 +46,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([piece.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([dims], pa.int32()), pa.array([cells.ravel()], pa.list_(pa.int64())), pa.array([(cells.astype(np.float64) ** 2).sum(axis=0)], pa.list_(pa.float64()))], names=["block", "ids", "dims", "cells", "energy"])
                 n += 1
 
-    return written(rows.mapInArrow(run, _BLOCK), "vector-blocks")
+    return written(rows.mapInArrow(tidied(run), _BLOCK), "vector-blocks")
 
 
 def _matrix(cells: np.ndarray, rows: int, dims: int, width: int) -> np.ndarray:
@@ -197,12 +197,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = S
                     out[2] += score[top].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    bounds = _pairs(queries, candidates).mapInArrow(gather, "qb long, query_id long, cutoff long")
+    bounds = _pairs(queries, candidates).mapInArrow(tidied(gather), "qb long, query_id long, cutoff long")
     lowest = F.lit(-(1 << 62)).cast("long")
     cutoffs = bounds.groupBy("qb", "query_id").agg(F.coalesce(F.max("cutoff"), lowest).alias("cutoff"))
     by_block = cutoffs.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "cutoff"))).alias("cut"))  # QUERY_ROWS entries at most
     by_block = written(by_block, "cutoffs")
     ready = queries.join(by_block, queries.block == by_block.qb).select("block", "ids", "dims", "cells", F.transform("ids", lambda i: F.element_at("cut", i)).alias("cutoffs"))
-    found = _pairs(ready, candidates).mapInArrow(collect, "query_id long, vec_id long, score long")
+    found = _pairs(ready, candidates).mapInArrow(tidied(collect), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT_WORDS, alnum_words_of, short_batches, written
+from .common import KEPT_WORDS, alnum_words_of, short_batches, tidied, written
 
 #: Bounds of the fit (documented parameters): labelled rows and features used.
 MAX_LABELLED = 20_000
@@ -56,12 +56,15 @@ class _Places(dict):
         """
         if len(self) >= KEPT_WORDS:
             self.forget()
-        words = [alnum_words_of(t or b"") for t in texts]
-        n_words = np.array([len(w) for w in words], np.int64)
-        words = [set(w) for w in words] if once else words
-        numbers = np.concatenate([np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in words]) if words else np.empty(0, np.int32)
+        found, n_words = [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            words = alnum_words_of(text or b"")
+            n_words[k] = len(words)
+            words = set(words) if once else words
+            found.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        numbers = np.concatenate(found) if found else np.empty(0, np.int32)
         at = np.flatnonzero(numbers)
-        rows = np.repeat(np.arange(len(words)), [len(w) for w in words])[at]
+        rows = np.repeat(np.arange(len(texts)), [len(x) for x in found])[at]
         sizes = np.array([len(x) for x in self.lists])
         flat = np.array([c for x in self.lists for c in x], np.int64)
         starts, n = (np.cumsum(sizes) - sizes)[numbers[at]], sizes[numbers[at]]
@@ -154,7 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
 
     sizes = sample.groupBy("grade").count().collect()  # one row per grade
     n_toxic, n_clean = (sum(r["count"] for r in sizes if (r.grade > 0) == x) for x in (True, False))
-    counts = sample.mapInArrow(count, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(tidied(count), "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1.0)) / ((F.col("clean") + 0.5) / (n_clean + 1.0))
     best = counts.where(F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * n_toxic)).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
     top = best.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "f").limit(max_features).collect()
@@ -169,7 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (cols, n)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n_words), *lists], names=["grade", "n_words", "cols", "n"])
 
-    data = sample.mapInArrow(sparse, "grade int, n_words long, cols array<int>, n array<int>").collect()  # max_labelled sparse rows
+    data = sample.mapInArrow(tidied(sparse), "grade int, n_words long, cols array<int>, n array<int>").collect()  # max_labelled sparse rows
     shared.destroy()
     grades = np.array([r.grade for r in data], np.int64)
     every = np.arange(len(data))
@@ -184,7 +187,6 @@ def severity(text: Column, model: OrdinalModel, spark) -> Column:
     """struct<severity double, grade int, p_toxic double> of a text column. severity: the expected grade."""
     shared = spark.sparkContext.broadcast(model)  # MAX_FEATURES weights
 
-    @F.arrow_udf("severity double, grade int, p_toxic double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared.value
         places = selected_places(fitted.features)
@@ -195,7 +197,10 @@ def severity(text: Column, model: OrdinalModel, spark) -> Column:
             first = tail[:, 0] if tail.shape[1] else np.zeros(len(tail))
             yield pa.StructArray.from_arrays([pa.array(tail.sum(axis=1)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(first)], names=["severity", "grade", "p_toxic"])
 
-    return run(text.cast("binary"))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(run)(batches)
+
+    return F.arrow_udf(score, "severity double, grade int, p_toxic double")(text.cast("binary"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, short_batches, written
+from .common import new_path, short_batches, tidied, written
 
 ARCHIVE_BYTES = 256 << 20
 #: Ranges closer than this are read in one piece; pieces stay below the second bound unless one record is larger.
@@ -93,7 +93,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         if out is not None:
             out.close()
 
-    return written(records.select("record_id", "url", "payload", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    return written(records.select("record_id", "url", "payload", "refers_to").mapInArrow(tidied(run), INDEX), "warc-index")
 
 
 def read_records(selected: DataFrame, path: str) -> DataFrame:
@@ -126,7 +126,7 @@ def read_records(selected: DataFrame, path: str) -> DataFrame:
 
     n = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = selected.select("archive", "offset", "length").repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
-    return ranged.mapInArrow(run, RECORDS)
+    return ranged.mapInArrow(tidied(run), RECORDS)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> tuple[DataFrame, str]:
