@@ -133,10 +133,10 @@ def depth_weight(depth: Column) -> Column:
     return F.when(in_thermocline(depth), 1.0).otherwise(0.0)
 
 
-def bottom_depth_norm(bottom: Column, depths: tuple = STANDARD_DEPTHS_M) -> Column:
-    """Deepest standard depth whose mask is 1, over the deepest of all; 0 if none."""
+def bottom_depth_norm(bottom: Column, depths: tuple = STANDARD_DEPTHS_M, deepest: float = 1000.0) -> Column:
+    """Deepest standard depth whose mask is 1, over `deepest`; 0 if none."""
     found = F.filter(F.arrays_zip(_array(depths).alias("z"), bottom.alias("b")), lambda s: s["b"] == 1)
-    return F.coalesce(F.array_max(F.transform(found, lambda s: s["z"])) / float(max(depths)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(found, lambda s: s["z"])) / deepest, F.lit(0.0))
 
 
 def depth_to_axis(depth: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import SPLIT_DEV
 from ..functions.missing import clamp, safe_div
 from ..functions.special import Z_QUANTILE, gaussian_crps, gaussian_nll, inside_interval
-from ..functions.vertical import in_thermocline
+from ..functions.vertical import d20, d26, in_thermocline, mixed_layer_depth
 
 ERROR_SUMS = ("n", "se", "se2", "sae", "sp", "st", "sp2", "st2", "spt", "ap", "at", "ap2", "at2", "apt")
 
@@ -148,3 +149,21 @@ def masked_losses(pairs: DataFrame, keys: list[str]) -> DataFrame:
     loss = gaussian_nll(F.col("mean"), F.col("sigma"), F.col("truth"))
     n = F.greatest(F.sum(F.col("mask").cast("double")), F.lit(1.0))
     return pairs.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("mask") == 1, loss)), F.lit(0.0)) / n).alias("nll"))
+
+
+def loss_target(target: Column, wet: Column, bottom: Column) -> tuple[Column, Column]:
+    """(mask, target): 1 where a loss counts the target, on wet cells above the floor that have one; elsewhere both are 0."""
+    counts = (wet == 1) & (bottom == 1) & target.isNotNull()
+    return F.when(counts, 1).otherwise(0), F.when(counts, target).otherwise(0.0)
+
+
+def dev_report(pairs: DataFrame) -> DataFrame:
+    """The report by model and depth on the days of the dev split alone."""
+    return evaluate(pairs.where(F.col("split") == SPLIT_DEV), cube=[], labels=[])
+
+
+def derived_depth_errors(profiles: DataFrame, keys: list[str], depths: tuple) -> DataFrame:
+    """profiles (keys, pred array, truth array) -> n and RMSE of D20, D26 and the mixed layer, over profiles where both have the depth."""
+    of = {"d20": d20, "d26": d26, "mld": mixed_layer_depth}
+    each = profiles.select(*keys, *[(f(F.col("pred"), depths) - f(F.col("truth"), depths)).alias(k) for k, f in of.items()])
+    return each.groupBy(*keys).agg(*[x for k in of for x in (F.count(k).alias(f"n_{k}"), F.sqrt(F.avg(F.col(k) * F.col(k))).alias(f"rmse_{k}"))])

@@ -50,22 +50,53 @@ def score_depth_models(rows: DataFrame, models: dict, features: tuple[str, ...]
 _sessions: dict = {}
 
 
-def score_network(rows: DataFrame, model_path: str, inputs: str, outputs: dict[str, int], keep: list[str]) -> DataFrame:
+def linear_network(weights: np.ndarray) -> bytes:
+    """An ONNX model y = x W as bytes: one matrix product, in the format's own field numbers (fixed values)."""
+
+    def field(number: int, payload: bytes | int) -> bytes:
+        def varint(n: int) -> bytes:
+            out = b""
+            while n > 127:
+                out += bytes([n & 127 | 128])
+                n >>= 7
+            return out + bytes([n])
+
+        if isinstance(payload, int):
+            return varint(number << 3) + varint(payload)
+        return varint(number << 3 | 2) + varint(len(payload)) + payload
+
+    def value(name: bytes, width: int) -> bytes:
+        shape = field(1, field(2, b"n")) + field(1, field(1, width))
+        return field(1, name) + field(2, field(1, field(1, 1) + field(2, shape)))
+
+    tensor = b"".join(field(1, d) for d in weights.shape) + field(2, 1) + field(8, b"w") + field(9, weights.astype("<f4").tobytes())
+    node = field(1, b"x") + field(1, b"w") + field(2, b"y") + field(4, b"MatMul")
+    graph = field(1, node) + field(2, b"g") + field(5, tensor) + field(11, value(b"x", weights.shape[0])) + field(12, value(b"y", weights.shape[1]))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def score_network(rows: DataFrame, model: str | bytes, inputs: str, outputs: dict[str, int], keep: list[str]) -> DataFrame:
     """rows with a feature array column `inputs` through an ONNX network: keep plus an array column per output.
 
-    outputs: name -> width. A worker opens the network once and scores Arrow batches.
+    model: the network's bytes, which are sent along, or a path that all workers can open. outputs: name -> width. A worker opens
+    the network once and scores Arrow batches.
     """
+    import hashlib
+
     import pyarrow as pa
 
+    name = model if isinstance(model, str) else hashlib.sha256(model).hexdigest()
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + "".join(f", {o} array<float>" for o in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import onnxruntime as ort
 
-        if model_path not in _sessions:
-            _sessions[model_path] = ort.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-        session = _sessions[model_path]
+        if name not in _sessions:
+            _sessions[name] = ort.InferenceSession(sent.value, providers=["CPUExecutionProvider"])
+        session = _sessions[name]
         feed = session.get_inputs()[0].name
         for b in batches:
             if not b.num_rows:

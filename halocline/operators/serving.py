@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import ramp_rgb
@@ -64,6 +64,18 @@ def day_payload(fields: DataFrame, date: str, model: str) -> DataFrame:
     return fields.where((F.col("day") == F.to_date(F.lit(date))) & (F.col("model") == model))
 
 
+def write_day_cache(fields: DataFrame, path: str) -> None:
+    """fields (model, day, ...): a partition for each model and day; a day written again replaces itself."""
+    by = [c for c in ("i", "j") if c in fields.columns]
+    ranged = fields.repartitionByRange("model", "day", *by).sortWithinPartitions("model", "day", *by)
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "day").parquet(path)
+
+
+def cached_day_list(spark: SparkSession, path: str) -> DataFrame:
+    """(model, day) of what is cached, from partition names."""
+    return spark.read.parquet(path).select("model", "day").distinct()
+
+
 def profile_payload(columns: DataFrame, depths: tuple = STANDARD_DEPTHS_M) -> DataFrame:
     """columns (..., mean, ref, obs arrays) -> adds D20, D26, MLD and the RMSE against either."""
     return columns.withColumns({"d20_m": d20(F.col("mean"), depths), "d26_m": d26(F.col("mean"), depths), "mld_m": mixed_layer_depth(F.col("mean"), depths), "rmse_ref": profile_rmse(F.col("mean"), F.col("ref")), "rmse_obs": profile_rmse(F.col("mean"), F.col("obs"))})

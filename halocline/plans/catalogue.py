@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fields, profiles, serving, skill  # noqa: F401
+from . import chain, fields, profiles, serving, skill  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,7 +11,7 @@ from ..functions import colour, dates, geo, missing, vertical
 from ..operators import masks, matching, metrics, models, serving
 from ..operators.features import MASK_OF, X_VARS
 from ..session import scratch_dir
-from ..sources import catalogue, profiles, reports, store, synthetic
+from ..sources import catalogue, profiles, reports, store
 from ..streaming import twins
 from . import adapters as A
 from .registry import BINNED, CELLS, FIELD, MONTHLY, OBS, PAIRS, POINTS, query, r6
@@ -188,12 +188,6 @@ def float_index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.filter_index(idx, "2024-01-02", "2024-01-06").select("wmo", F.round("lat", 3).alias("lat"))
 
 
-@query()
-def synthetic_sea(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated sea on a small grid: cells, land, autoregressive anomalies; tests check the recurrence."""
-    return synthetic.surface_days(spark, geo.Grid(ny=12, nx=24), "2015-01-01", 60).withColumn("sst", r6("sst"))
-
-
 @query("SELECT CAST(ts AS DATE) AS day, user_id, count(value) AS n, round(sum(value), 4) AS s, round(sum(value * value), 4) AS ss FROM events GROUP BY 1, 2")
 def stream_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = twins.drained(twins.daily_sums(twins.read_events(spark, f"{sf_dir}/events.parquet"), ["user_id"]), scratch_dir(spark))
