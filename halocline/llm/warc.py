@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, short_batches, tidied, written
+from .common import key_bits, maybe_among, new_path, short_batches, tidied, written
 
 ARCHIVE_BYTES = 256 << 20
 #: Ranges closer than this are read in one piece; pieces stay below the second bound unless one record is larger.
@@ -132,16 +132,20 @@ def read_records(selected: DataFrame, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> tuple[DataFrame, str]:
     """Writes a record per row of pages (page_id, url, html) and returns (index, path).
 
-    Of rows with equal payloads of at least least_bytes bytes those with the smallest page_id are responses, the others are revisits of
-    it; smaller payloads are all responses. Null html is an empty payload. Null page ids are larger than all others. A null url is left
+    Of rows with equal payloads (by SHA-256) of at least least_bytes bytes those with the smallest page_id are responses, the
+    others are revisits of it; smaller payloads are all responses. Very long pages are held a few times over while they are packed. Ties can't arise. Null html is an empty payload. Null page ids are larger than all others. A null url is left
     out of the record. Rows that repeat an id are written each. An empty table writes no archive.
+    Other columns are not read, whatever their names.
     """
     path = path or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"_digest": F.sha1("payload"), "_bytes": F.octet_length("payload")})
-    firsts = rows.where(F.col("_bytes") >= least_bytes).groupBy("_digest", "_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumns({"_sha256": F.sha2("payload", 256), "_bytes": F.octet_length("payload")})
+    firsts = rows.where(F.col("_bytes") >= least_bytes).groupBy("_sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.where("n > 1 and first_id is not null").drop("n"), "first-pages")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    known = rows.join(firsts, ["_digest", "_bytes"], "left")
+    # only pages whose payload others may have are shuffled
+    may, free = maybe_among(rows, F.col("_sha256"), key_bits(firsts, "_sha256"))
+    several = may.join(firsts.withColumnRenamed("_sha256", "_key").hint("shuffle_hash"), "_key", "left").select("_own.*", "first_id")
+    known = free.withColumn("first_id", F.lit(None).cast("long")).unionByName(several)
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return write_archives(known.select(urn("page_id").alias("record_id"), "url", "payload", F.when(revisit, urn("first_id")).alias("refers_to")), path), path
