@@ -88,23 +88,8 @@ class EliasFano:
         high = (select(self.words, self.ones, i) - i).astype(np.uint64)
         return (high << _U(self.low)) | self._low(i)
 
-    def find_between(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Index of each x within [begin, end), or -1: the successor, by a binary search of as many steps as the range needs."""
-        out = np.full(len(x), -1, np.int64)
-        lo, hi = begin.copy(), end.copy()
-        todo = np.flatnonzero(lo < hi)
-        while len(todo):
-            mid = (lo[todo] + hi[todo]) >> 1
-            value = self.access(mid)
-            out[todo[value == x[todo]]] = mid[value == x[todo]]
-            less = value < x[todo]
-            lo[todo[less]] = mid[less] + 1
-            hi[todo[~less]] = mid[~less]
-            todo = todo[(lo[todo] < hi[todo]) & (out[todo] < 0)]
-        return out
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the successor within its high bits' bucket."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, within [begin, end) if given, or -1: the successor among those that share its high bits."""
         out = np.full(len(x), -1, np.int64)
         high = (x >> _U(self.low)).astype(np.int64)
         ok = np.flatnonzero(high <= self.top) if self.n else np.empty(0, np.int64)
@@ -116,6 +101,8 @@ class EliasFano:
         ones = ~0 & 0xFFFFFFFFFFFFFFFF
         first[later] = select(self.words, self.zeros, h[later] - 1, ones) - (h[later] - 1)
         last = select(self.words, self.zeros, h, ones) - h
+        if begin is not None:
+            first, last = np.maximum(first, begin[ok]), np.minimum(last, end[ok])
         want = x[ok] & _U((1 << self.low) - 1)
         # binary search for the successor among the low bits of the bucket
         lo, hi = first.copy(), last.copy()
@@ -126,7 +113,7 @@ class EliasFano:
             lo[todo[less]] = mid[less] + 1
             hi[todo[~less]] = mid[~less]
             todo = todo[lo[todo] < hi[todo]]
-        inside = np.flatnonzero(lo < last)
+        inside = np.flatnonzero((lo < last) & (first < last))
         hit = inside[self._low(lo[inside]) == want[inside]]
         out[ok[hit]] = lo[hit]
         return out
@@ -153,26 +140,44 @@ def from_buffer(data: np.ndarray) -> dict[str, np.ndarray]:
     return {k: data[start + at : start + at + m * np.dtype(t).itemsize].view(t) for k, (t, at, m) in head.items()}
 
 
+def build_level(parents: np.ndarray, n_parents: int, words: np.ndarray, probabilities: np.ndarray, width: int, name: str) -> dict[str, np.ndarray]:
+    """A level of a trie: entries sorted by (parent, word), parents below n_parents, words below width.
+
+    Pointers into the level (one per parent, and the end), words made increasing by their parent, quantised probabilities.
+    """
+    pointers = np.searchsorted(parents, np.arange(n_parents + 1, dtype=parents.dtype)).astype(np.uint64)
+    levels = ef_encode(pointers, f"{name}.pointers") | ef_encode(parents.astype(np.uint64) * _U(width) + words, f"{name}.words")
+    return levels | {f"{name}.probabilities": probabilities, f"{name}.width": np.array([width], np.int64)}
+
+
+def search_level(arrays: dict[str, np.ndarray], name: str, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place of each (parent, word) in the level, or -1: the successor of the word between the parent's pointers.
+
+    Keys should be sorted: each run of one parent looks up its pointers once.
+    """
+    if not len(parents):
+        return np.empty(0, np.int64)
+    run = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
+    pointers = EliasFano(arrays, f"{name}.pointers")
+    sizes = np.diff(np.append(run, len(parents)))
+    begin, end = (np.repeat(pointers.access(parents[run].astype(np.int64) + k).astype(np.int64), sizes) for k in (0, 1))
+    return EliasFano(arrays, f"{name}.words").find(parents.astype(np.uint64) * _U(int(arrays[f"{name}.width"][0])) + words, begin, end)
+
+
 def build_trie(keys: np.ndarray, probabilities: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """keys: sorted context << 32 | word; words below width. Levels: contexts, pointers into the words, words, quantised probabilities."""
+    """keys: sorted context << 32 | word; words below width. The contexts that occur, and the level of their words."""
     contexts, words = keys >> _U(32), keys & _U(0xFFFFFFFF)
     unique, first = np.unique(contexts, return_index=True)
     rank = np.repeat(np.arange(len(unique), dtype=np.uint64), np.diff(np.append(first, len(keys))))
-    levels = ef_encode(unique, "contexts") | ef_encode(np.append(first, len(keys)).astype(np.uint64), "pointers")
-    return levels | ef_encode(rank * _U(width) + words, "words") | {"probabilities": probabilities, "width": np.array([width], np.int64)}
+    return ef_encode(unique, "contexts") | build_level(rank, len(unique), words, probabilities, width, "two")
 
 
-def search_trie(arrays: dict[str, np.ndarray], contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Quantised probability of each (context, word), or -1: find the context, then the successor among its own words."""
-    out = np.full(len(contexts), -1, np.int64)
-    rank = EliasFano(arrays, "contexts").find(contexts)
+def search_trie(arrays: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Place of each key (sorted: context << 32 | word) among the bigrams, or -1."""
+    out = np.full(len(keys), -1, np.int64)
+    contexts = keys >> _U(32)
+    run = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(keys) else np.empty(0, np.int64)
+    rank = np.repeat(EliasFano(arrays, "contexts").find(contexts[run]), np.diff(np.append(run, len(keys))))
     seen = np.flatnonzero(rank >= 0)
-    if not len(seen):
-        return out
-    r = rank[seen]
-    pointers = EliasFano(arrays, "pointers")
-    begin, end = pointers.access(r).astype(np.int64), pointers.access(r + 1).astype(np.int64)
-    at = EliasFano(arrays, "words").find_between(r.astype(np.uint64) * _U(int(arrays["width"][0])) + words[seen], begin, end)
-    hit = np.flatnonzero(at >= 0)
-    out[seen[hit]] = arrays["probabilities"][at[hit]]
+    out[seen] = search_level(arrays, "two", rank[seen], keys[seen] & _U(0xFFFFFFFF))
     return out

@@ -25,13 +25,24 @@ def fold(i):
     return zlib.crc32(str(i).encode() if i is not None else b"") % 7
 
 
-def brute(rows):
+def brute(rows, order=3):
     """Scores by dictionaries, in the same formulas."""
     train = [tokens(t) for i, t in rows if fold(i) != 2]
     uni = Counter(w for t in train for w in t)
     bi = Counter((a, b) for t in train for a, b in zip(t, t[1:]))
     total, v = sum(uni.values()), len(uni)
+    tri = Counter(x for t in train for x in zip(t, t[1:], t[2:]))
+    kept = Counter()
+    for (a, b, _), n in tri.items():
+        kept[a, b] += n * (n > 1)
     bins = lambda c: min(int(math.log2(max(c, 1))), 39)
+    step = lambda p: round(-math.log10(p) * STEP) / STEP
+    once3, all3 = Counter(), Counter()
+    for (a, b), n in bi.items():
+        if n > 1 and b is not None:
+            once3[bins(n)] += n - kept[a, b]
+            all3[bins(n)] += n
+    back3 = lambda c: min(0.999, max(0.001, (once3[bins(c)] + 0.5) / (all3[bins(c)] + 1)))
     once, all_ = Counter(), Counter()
     for (a, _), n in bi.items():
         once[bins(uni[a])] += n == 1
@@ -43,14 +54,22 @@ def brute(rows):
         ts = tokens(t)
         base = sum(math.log10(p1(w)) for w in ts)
         score = math.log10(p1(ts[0]))
-        for a, b in zip(ts, ts[1:]):
+        for k, (a, b) in enumerate(zip(ts, ts[1:])):
             new = back(uni[a])
             if uni[a] == 0:
-                score += math.log10(p1(b))
+                two = math.log10(p1(b))
             elif (a, b) in bi:
-                score -= round(-math.log10((1 - new) * bi[a, b] / uni[a] + new * p1(b)) * STEP) / STEP
+                two = -step((1 - new) * bi[a, b] / uni[a] + new * p1(b))
             else:
-                score += math.log10(new * p1(b))
+                two = math.log10(new * p1(b))
+            before = (ts[k - 1], a) if k else None
+            n = bi[before]
+            if order > 2 and n > 1:
+                lam = back3(n)
+                beta = 1 - (1 - lam) * kept[before] / n
+                third = tri[(*before, b)]
+                two = -step((1 - lam) * third / n + beta * 10**two) if third > 1 else two - step(beta)
+            score += two
         out.append((i, fold(i) == 2, len(ts), sum(uni[w] > 0 for w in ts), total, base, score))
     return out
 
@@ -71,6 +90,39 @@ def test_scores_equal_brute_force(spark):
     rows = list(enumerate(some_texts(11, 80, 40)))
     rows += [(200, None), (201, ""), (202, "unseenword anotherone"), (None, "river river"), (3, "stone"), (3, "stone"), (204, "É é É")]
     same(found(spark, rows), brute(rows))
+    two = score_documents(docs(spark, rows, EXTRA), order=2).collect()
+    same(sorted((tuple(r) for r in two), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5])), brute(rows, 2))
+
+
+def test_probabilities_after_a_bigram_add_up_to_one(spark):
+    rng = random.Random(3)
+    model = language_model.fit_model(docs(spark, [" ".join(rng.choice("abcd") for _ in range(12)) for _ in range(40)]))
+    score = lambda t: model.score([t.encode()], language_model.WordHashes())["score"][0]
+    for a, b in ("ab", "dc"):
+        # P(a b w ...) over all w, each text's own end left out by comparing texts of one more word
+        last = lambda w: token_score(model, f"{a} {b} {w}".strip(), 2)
+        assert sum(10 ** last(w) for w in ("a", "b", "c", "d", "", "unseen")) == pytest.approx(1, abs=0.01)
+        assert score(f"{a} {b}") < 0
+
+
+def token_score(model, text, k):
+    """log10 probability of the k-th token, as the difference that it makes; the end is the token after the last word."""
+    ts = text.split()
+    if k == len(ts):
+        whole = model.score([text.encode()], language_model.WordHashes())["score"][0]
+        return whole - prefix_score(model, ts)
+    return prefix_score(model, ts[: k + 1]) - prefix_score(model, ts[:k])
+
+
+def prefix_score(model, ts):
+    """The score of the words without the end."""
+    tokens_, hashes = [language_model.token_hashes(" ".join(ts).encode(), language_model.WordHashes())[:-1]], None
+    real = language_model.token_hashes
+    language_model.token_hashes = lambda t, h: tokens_[0]
+    try:
+        return model.score([b""], hashes)["score"][0] if len(tokens_[0]) else 0.0
+    finally:
+        language_model.token_hashes = real
 
 
 def test_many_small_shards_give_the_same(spark, monkeypatch):
@@ -117,5 +169,5 @@ def test_trie(spark):
     trie = build_trie(keys, np.arange(len(keys), dtype=np.uint16), 60)
     where = {p: k for k, p in enumerate(pairs)}
     asked = [(a, b) for a in range(55) for b in range(60)]
-    got = search_trie(trie, np.array([a for a, _ in asked], np.uint64), np.array([b for _, b in asked], np.uint64))
+    got = search_trie(trie, np.array([a << 32 | b for a, b in asked], np.uint64))
     assert got.tolist() == [where.get(p, -1) for p in asked]
