@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """(doc_id, fp, component_id): fingerprints within `radius` bits link; component_id is the smallest id reachable.
 
     Copies share a fingerprint and are handled as one. Texts without words have fingerprint 0 and link like any
-    other. Null ids are never the smallest id (null only if a component has no other). Repeated rows give repeated
+    other; long texts are fingerprinted whole, eight bytes a shingle. Null ids are never the smallest id (null only if a component has no other). Repeated rows give repeated
     rows; an empty table gives an empty one; other columns are not read.
     """
     fps = written(with_fingerprints(docs, shingle, seed), "fingerprints")
