@@ -194,6 +194,18 @@ def stream_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", "user_id", "n", r6("s", 4).alias("s"), r6("ss", 4).alias("ss"))
 
 
+@query("SELECT user_id, count(value) AS n, round(sum(value), 4) AS s, round(sum(value * value), 4) AS ss FROM events GROUP BY user_id")
+def stream_merged_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of two streams, of the even and the odd events, added up."""
+
+    def parts() -> DataFrame:
+        halves = [twins.daily_sums(twins.read_events(spark, f"{sf_dir}/events.parquet").where(f"event_id % 2 = {k}"), ["user_id"]) for k in (0, 1)]
+        one, two = (twins.drained(h, scratch_dir(spark)) for h in halves)
+        return one.unionByName(two)
+
+    return twins.merged_sums(parts, ["user_id"]).select("user_id", "n", r6("s", 4).alias("s"), r6("ss", 4).alias("ss"))
+
+
 @query("SELECT CAST(d.d AS DATE) AS start, user_id, count(value) AS n, round(avg(value), 9) AS mean FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-28', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS TIMESTAMP) AS d) d JOIN events ON ts >= d AND ts < d + INTERVAL 3 DAY GROUP BY 1, 2")
 def stream_sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = twins.drained(twins.sliding_means(twins.read_events(spark, f"{sf_dir}/events.parquet"), ["user_id"]), scratch_dir(spark))

@@ -68,17 +68,6 @@ def signature(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
 
 
-def normalised_fields(x: DataFrame, norm: dict[str, tuple[float, float]], coeffs: dict[str, Column], mask_of: dict[str, str]) -> DataFrame:
-    """Adds z_<var>: (value - climatology - mean) / std, clipped, and 0 where the variable's mask is 0."""
-    from ..operators.climatology import normalised
-
-    out = {}
-    for var, (mean, std) in norm.items():
-        z = normalised(F.col(var) - coeffs[var], F.lit(mean), F.lit(std))
-        out[f"z_{var}"] = F.when(F.col(f"mask_{mask_of[var]}") == 1, F.coalesce(z, F.lit(0.0))).otherwise(0.0)
-    return x.withColumns(out)
-
-
 def done_months(manifest: DataFrame, product: str) -> DataFrame:
     """(month) that a product's manifest (product, month) lists."""
     return manifest.where(F.col("product") == product).select("month").distinct()
