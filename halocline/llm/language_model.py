@@ -14,12 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, new_path, short_batches, tidied, words_of, written
+from .common import mixed, new_path, short_batches, tidied, written
 from .elias_fano import EliasFano, build_level, build_trie, ef_encode, from_buffer, search_level, search_trie, to_bytes
 
 #: Entries of a shard of the unigram level, and tokens that a shard of the tries stands for.
@@ -31,14 +30,55 @@ HELD = 4_000_000
 ORDER = 3
 #: Steps of a quantised log10 probability; 16 bits hold down to -16.
 STEP = 4096
-END = xxhash.xxh64_intdigest(b"", 0)
 _BINS = 40
-
-
-def token_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the lower-cased (A-Z) words and of the end that every text has."""
-    h = hashes.of(words_of((text or b"").lower()))
-    return np.append(h, np.uint64(END))
+#: Bytes of texts that are split into words at once.
+CHUNK_BYTES = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A random number for each byte; a byte's share in its word's hash is this number times a power of an odd number by its place.
+_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+_PLACES = [np.ones(1, np.uint64)]
+#: Stands for the end of a text; no UTF-8 has this byte.
+_END = b" \xff "
+
+
+def _powers(n: int) -> np.ndarray:
+    if len(_PLACES[0]) < n:
+        p = np.full(2 * n, 0x9E3779B97F4A7C15, np.uint64)
+        p[0] = 1
+        _PLACES[0] = np.cumprod(p)
+    return _PLACES[0]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words (split at ASCII white space) of a buffer, in order."""
+    raw = np.frombuffer(data, np.uint8)
+    inner = np.flatnonzero(~_SPACE[raw])
+    if not len(inner):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.append(True, np.diff(inner) > 1))
+    sizes = np.diff(np.append(first, len(inner)))
+    place = np.arange(len(inner)) - np.repeat(first, sizes)
+    return mixed(np.add.reduceat(_BYTES[raw[inner]] * _powers(int(sizes.max()))[place], first))
+
+
+END = int(word_hashes(_END)[0])
+
+
+def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the lower-cased (A-Z) words of all texts, each followed by the end; the number of tokens of each text)."""
+    parts, chunk, size = [], [], 0
+    for text in texts:
+        chunk.append(text or b"")
+        size += len(chunk[-1])
+        if size >= CHUNK_BYTES:
+            parts.append(word_hashes((_END.join(chunk) + _END).translate(_LOWER)))
+            chunk, size = [], 0
+    if chunk:
+        parts.append(word_hashes((_END.join(chunk) + _END).translate(_LOWER)))
+    found = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return found, np.diff(np.flatnonzero(found == np.uint64(END)), prepend=-1)
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -162,12 +202,11 @@ class LanguageModel:
         keys, which = np.unique(bigram_keys(before[known], ids[known]), return_inverse=True)
         return known, keys, which
 
-    def score(self, texts: list[bytes | None], hashes: WordHashes) -> dict[str, np.ndarray]:
+    def score(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base and score (log10) of each text."""
-        tokens = [token_hashes(t, hashes) for t in texts]
-        lengths = np.array([len(t) for t in tokens])
+        tokens, lengths = token_hashes(texts)
         starts = np.cumsum(lengths) - lengths
-        ids, counts = self.unigrams.find(np.concatenate(tokens))
+        ids, counts = self.unigrams.find(tokens)
         uni = self.unigrams
         base = np.log10((counts + 1) / (uni.total + 1 * (uni.size + 1)))
         best = base.copy()
@@ -251,11 +290,11 @@ def fit_unigrams(training: DataFrame, path: str) -> Unigrams:
     spark = training.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), _Held()
+        held = _Held()
         give = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["w", "n"])
         for b in batches:
             if b.num_rows:
-                held.add(np.concatenate([token_hashes(t, hashes) for t in b.column(0).to_pylist()]))
+                held.add(token_hashes(b.column(0).to_pylist())[0])
                 if held.full():
                     yield give(*held.taken())
         yield give(*held.taken())
@@ -294,7 +333,7 @@ def fit_model(training: DataFrame, order: int = ORDER) -> LanguageModel:
     shards = max(1, -(-unigrams.total // SHARD_TOKENS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), _Held()
+        held = _Held()
 
         def give() -> pa.RecordBatch:
             keys, n = held.taken()
@@ -308,9 +347,8 @@ def fit_model(training: DataFrame, order: int = ORDER) -> LanguageModel:
 
         for b in batches:
             if b.num_rows:
-                tokens = [token_hashes(t, hashes) for t in b.column(0).to_pylist()]
-                lengths = np.array([len(t) for t in tokens])
-                ids, _ = unigrams.find(np.concatenate(tokens))
+                tokens, lengths = token_hashes(b.column(0).to_pylist())
+                ids, _ = unigrams.find(tokens)
                 inner = np.ones(len(ids), bool)
                 inner[np.cumsum(lengths) - lengths] = False  # a text's first token has no context
                 word = np.flatnonzero(inner)
@@ -372,7 +410,7 @@ def fit_third(training: DataFrame, model: LanguageModel, merged: DataFrame) -> l
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {}
+        held: dict[int, _Held] = {}
 
         def give() -> pa.RecordBatch:
             rows: list[list] = [[], [], []]
@@ -386,9 +424,8 @@ def fit_third(training: DataFrame, model: LanguageModel, merged: DataFrame) -> l
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens = [token_hashes(t, hashes) for t in b.column(0).to_pylist()]
-            lengths = np.array([len(t) for t in tokens])
-            ids, _ = model.unigrams.find(np.concatenate(tokens))
+            tokens, lengths = token_hashes(b.column(0).to_pylist())
+            ids, _ = model.unigrams.find(tokens)
             known, keys, which = model.contexts(ids, np.cumsum(lengths) - lengths)
             found = model.bigrams(keys)
             of = np.full(len(ids), -1, np.int64)
@@ -478,10 +515,9 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, order: i
     model = fit_model(rows.where(~F.col("held_out")).select("text"), order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             if b.num_rows:
-                found = model.score(b.column(2).to_pylist(), hashes)
+                found = model.score(b.column(2).to_pylist())
                 total = pa.array(np.full(b.num_rows, model.unigrams.total, np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found["n_tokens"].astype(np.int64)), pa.array(found["n_known"]), total, pa.array(found["base"]), pa.array(found["score"])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -97,7 +97,7 @@ def test_scores_equal_brute_force(spark):
 def test_probabilities_after_a_bigram_add_up_to_one(spark):
     rng = random.Random(3)
     model = language_model.fit_model(docs(spark, [" ".join(rng.choice("abcd") for _ in range(12)) for _ in range(40)]))
-    score = lambda t: model.score([t.encode()], language_model.WordHashes())["score"][0]
+    score = lambda t: model.score([t.encode()])["score"][0]
     for a, b in ("ab", "dc"):
         # P(a b w ...) over all w, each text's own end left out by comparing texts of one more word
         last = lambda w: token_score(model, f"{a} {b} {w}".strip(), 2)
@@ -109,18 +109,18 @@ def token_score(model, text, k):
     """log10 probability of the k-th token, as the difference that it makes; the end is the token after the last word."""
     ts = text.split()
     if k == len(ts):
-        whole = model.score([text.encode()], language_model.WordHashes())["score"][0]
+        whole = model.score([text.encode()])["score"][0]
         return whole - prefix_score(model, ts)
     return prefix_score(model, ts[: k + 1]) - prefix_score(model, ts[:k])
 
 
 def prefix_score(model, ts):
     """The score of the words without the end."""
-    tokens_, hashes = [language_model.token_hashes(" ".join(ts).encode(), language_model.WordHashes())[:-1]], None
+    words = language_model.token_hashes([" ".join(ts).encode()])[0][:-1]
     real = language_model.token_hashes
-    language_model.token_hashes = lambda t, h: tokens_[0]
+    language_model.token_hashes = lambda texts: (words, np.array([len(words)]))
     try:
-        return model.score([b""], hashes)["score"][0] if len(tokens_[0]) else 0.0
+        return model.score([b""])["score"][0] if len(words) else 0.0
     finally:
         language_model.token_hashes = real
 
@@ -162,6 +162,17 @@ def test_elias_fano_access_and_search(n, top):
     assert ef.find(asked).tolist() == [where.get(int(x), -1) for x in asked]
 
 
+def test_words_hash_as_they_compare(monkeypatch):
+    texts = [t.encode() for t in [*some_texts(21, 60, 40), "É É é\x85x", "a" * 5000 + " a", ""]] + [None]
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 300)
+    hashes, lengths = language_model.token_hashes(texts)
+    words = [w for t in texts for w in [*tokens((t or b"").decode())]]
+    assert lengths.tolist() == [len(tokens((t or b"").decode())) for t in texts] and len(hashes) == len(words)
+    by_word, by_hash = {}, {}
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        assert by_word.setdefault(w, h) == h and by_hash.setdefault(h, w) == w
+
+
 def test_trie(spark):
     rng = random.Random(5)
     pairs = sorted({(rng.randrange(50), rng.randrange(60)) for _ in range(700)})
