@@ -37,17 +37,17 @@ def to_standard_depths(values: Column, source_depths: list[float], depths: tuple
     """
     src = sorted(source_depths)
     levels = F.transform(F.filter(F.transform(values, lambda v, k: F.struct(v.alias("v"), F.get(_array(src), k).alias("d"))), lambda s: s["v"].isNotNull()), lambda s: s["d"])
-    shallow, deep = F.array_min(levels), F.array_max(levels)
     at = lambda k: F.coalesce(F.get(values, F.lit(k)), F.lit(0.0))
-    out = []
-    for d in depths:
+    def standard(shallow: Column, deep: Column, d: float) -> Column:
         right = min(max(sum(s < d for s in src), 1), len(src) - 1)
         x0, x1 = src[right - 1], src[right]
         y0, y1 = at(right - 1), at(right)
         between = y0 + F.lit((d - x0) / (x1 - x0) if x1 > x0 else 0.0) * (y1 - y0)
         inside = F.when((F.lit(float(d)) < shallow) & (F.lit(float(d)) >= shallow - SHALLOW_CLAMP_M), at(0)).otherwise(between)
-        out.append(F.when((F.lit(float(d)) >= shallow - SHALLOW_CLAMP_M) & (F.lit(float(d)) <= deep), inside))
-    return F.array(*out)
+        return F.when((F.lit(float(d)) >= shallow - SHALLOW_CLAMP_M) & (F.lit(float(d)) <= deep), inside)
+
+    ends = F.struct(F.array_min(levels).alias("shallow"), F.array_max(levels).alias("deep"))
+    return bound(ends, lambda e: F.array(*[standard(e["shallow"], e["deep"], d) for d in depths]))
 
 
 def ragged_to_standard(samples: Column, depths: tuple = STANDARD_DEPTHS_M, tol: float = DEPTH_TOL_M) -> Column:

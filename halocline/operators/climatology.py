@@ -60,7 +60,11 @@ def solve_harmonics(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 def evaluate_harmonics(coeffs: Column, doy: Column, period: float = HARMONIC_PERIOD_DAYS) -> Column:
     """Climatological value of a day of the year; coefficients are 73 times smaller than 366 stored days."""
-    h = harmonics(doy, period)
+    return with_harmonics(coeffs, harmonics(doy, period))
+
+
+def with_harmonics(coeffs: Column, h: list[Column]) -> Column:
+    """The same from terms that are at hand, as columns."""
     total = F.get(coeffs, F.lit(0)) * h[0]
     for k in range(1, N_COEFFS):
         total = total + F.get(coeffs, F.lit(k)) * h[k]

@@ -67,8 +67,8 @@ def day_payload(fields: DataFrame, date: str, model: str) -> DataFrame:
 def write_day_cache(fields: DataFrame, path: str) -> None:
     """fields (model, day, ...): a partition for each model and day; a day written again replaces itself."""
     by = [c for c in ("i", "j") if c in fields.columns]
-    ranged = fields.repartitionByRange("model", "day", *by).sortWithinPartitions("model", "day", *by)
-    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "day").parquet(path)
+    dealt = fields.repartition("model", "day").sortWithinPartitions("model", "day", *by)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "day").parquet(path)
 
 
 def cached_day_list(spark: SparkSession, path: str) -> DataFrame:

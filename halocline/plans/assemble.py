@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import SplitYears, doy_index, split_code
+from ..functions.dates import SplitYears, doy_index, harmonics, split_code
 from ..functions.vertical import STANDARD_DEPTHS_M, bottom_depth_norm, to_standard_depths
 from ..operators import climatology, masks
 from ..operators.align import reindex_to_calendar
@@ -77,13 +77,18 @@ def write_norm(store: Store, plan: Assembly) -> None:
 def write_normalised(store: Store, plan: Assembly) -> None:
     """Table fields: z of each variable (0 where its mask is 0), the masks, and z of the target depths (NULL below the floor)."""
     norm = {r.channel: (r["mean"], r["std"]) for r in store.read("norm").collect()}  # one row per channel
-    coeffs = store.read("clim").groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct("channel", "coeffs"))).alias("coeffs"))  # 22 a cell
+    channels = [*X_VARS, *[f"t_{d}" for d in plan.depths]]
+    per = [F.max(F.when(F.col("channel") == c, F.col("coeffs"))).alias(f"_c{k}") for k, c in enumerate(channels)]
+    coeffs = store.read("clim").groupBy("i", "j").agg(*per)  # a column per channel
     rows = store.read("raw").join(store.read("static").select("i", "j", "wet", "bottom"), ["i", "j"]).join(coeffs, ["i", "j"], "left")
-    doy = doy_index(F.col("day")) + 1
+    # the terms of a day are worked out once for all channels
+    terms = harmonics(doy_index(F.col("day")) + 1)
+    rows = rows.withColumns({f"_h{k}": h for k, h in enumerate(terms)})
+    h = [F.col(f"_h{k}") for k in range(len(terms))]
 
     def z(channel: str, value: Column) -> Column:
         mean, std = norm.get(channel, (0.0, 1.0))
-        clim = climatology.evaluate_harmonics(F.try_element_at("coeffs", F.lit(channel)), doy)
+        clim = climatology.with_harmonics(F.col(f"_c{channels.index(channel)}"), h)
         return climatology.normalised(value - clim, F.lit(mean), F.lit(std))
 
     parts = {m: [F.col(v) for v in X_VARS if MASK_OF[v] == m] for m in X_MASKS}

@@ -103,7 +103,7 @@ def read_interim(spark: SparkSession, path: str, product: str, start: str, end:
 def write_interim(df: DataFrame, path: str, product: str) -> None:
     """One partition per product and month; a month written again replaces itself (dynamic overwrite). Large months take many tasks."""
     out = df.withColumns({"product": F.lit(product), "month": F.date_format("day", "yyyy-MM")})
-    out.repartitionByRange("day", "i", "j").sortWithinPartitions("month", "day", "i", "j").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("product", "month").parquet(path)
+    out.repartition("day").sortWithinPartitions("month", "day", "i", "j").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("product", "month").parquet(path)
 
 
 def aligned_fields(products: dict[str, DataFrame], calendar: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ class Store:
     def write_days(self, table: str, df: DataFrame) -> None:
         """df (day, ...): partitioned by month and sorted, so that scans prune by day and cell.
 
-        Rows are dealt out by ranges of day and cell: a large month is written by many tasks, as many files.
+        Rows are dealt out by day, which holds a grid at most: a large month is written by up to 31 tasks, as many files.
         """
         out = df.withColumn("month", F.date_format("day", "yyyy-MM"))
         by = [c for c in ("day", "i", "j") if c in df.columns]
-        out.repartitionByRange(*by).sortWithinPartitions("month", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path(table))
+        out.repartition("day").sortWithinPartitions("month", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path(table))
 
     def write_table(self, table: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self.path(table))
