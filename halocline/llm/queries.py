@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import WORD
 from .decontam import decontaminate
 from .language_model import score_documents
 from .licenses import TEMPLATES, normalised_words, scan_licenses, template_bigrams
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
+from .periodic_runs import find_runs, strongest_run
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .topk import exact_top_k
@@ -69,7 +71,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op8_language_model, op9_simhash, op10_line_dedup)}
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts of a tenth of the ids, chosen by CRC-32, go on periodically from a word on, as the query is stated."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # of the other rows no words are extracted
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("w"))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    sized = words.select("doc_id", "text", "w", n.alias("n"), g.alias("g")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    sized = sized.withColumn("p", p)
+    of = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("w", of), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = found.select("doc_id", "runs", strongest_run(F.col("runs")).alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op8_language_model, op9_simhash, op10_line_dedup, op12_periodic_runs)}
 
 
 def _quoted(text: str) -> str:
