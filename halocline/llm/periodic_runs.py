@@ -15,8 +15,8 @@ from .common import short_batches, tidied, words_of
 
 MIN_WORDS = 24
 MIN_TIMES = 3
-#: Words that are refined together; a longer text is refined alone.
-CHUNK_WORDS = 400_000
+#: Words that a task gathers to refine them together: some hundred bytes each.
+CHUNK_WORDS = 1_500_000
 RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
 
 
@@ -194,28 +194,27 @@ def runs_of(words: np.ndarray, text: np.ndarray, longest: np.ndarray, min_words:
     return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
 
 
-def runs_of_texts(texts: list[list[bytes]], min_words: int = MIN_WORDS, min_times: int = MIN_TIMES) -> list[np.ndarray]:
-    """(start, length, period) of all runs of each text, given as words; texts that may hold none are not looked at."""
+def runs_of_texts(texts: list[np.ndarray], min_words: int = MIN_WORDS, min_times: int = MIN_TIMES) -> list[np.ndarray]:
+    """(start, length, period) of all runs of each text, given as the numbers of its words; texts too short for one are not looked at.
+
+    All are refined together, so that a length is gone through once for many texts.
+    """
     out = [np.empty((0, 3), np.int64)] * len(texts)
-    asked = [k for k, w in enumerate(texts) if len(w) >= max(min_words, min_times)]
-    while asked:
-        own, total = [], 0
-        while asked and (not own or total + len(texts[asked[-1]]) <= CHUNK_WORDS):
-            own.append(asked.pop())
-            total += len(texts[own[-1]]) + 1
-        ids = _Ids()
-        sizes = np.array([len(texts[k]) + 1 for k in own])
-        starts = np.cumsum(sizes) - sizes
-        words = np.empty(total, np.int64)
-        for k, s in zip(own, starts.tolist(), strict=True):
-            words[s : s + len(texts[k])] = np.fromiter(map(ids.__getitem__, texts[k]), np.int64, len(texts[k]))
-        words[starts + sizes - 1] = len(ids) + np.arange(len(own))
-        found = runs_of(words, np.repeat(np.arange(len(own)), sizes), np.repeat((sizes - 1) // min_times, sizes), min_words, min_times)
-        which = np.searchsorted(starts, found[:, 0], "right") - 1
-        found[:, 0] -= starts[which]
-        cuts = np.searchsorted(which, np.arange(len(own) + 1))
-        for k, a, b in zip(own, cuts, cuts[1:], strict=False):
-            out[k] = found[a:b]
+    own = [k for k, w in enumerate(texts) if len(w) >= max(min_words, min_times)]
+    if not own:
+        return out
+    sizes = np.array([len(texts[k]) + 1 for k in own])
+    starts = np.cumsum(sizes) - sizes
+    words = np.empty(int(sizes.sum()), np.int64)
+    for k, s in zip(own, starts.tolist(), strict=True):
+        words[s : s + len(texts[k])] = texts[k]
+    words[starts + sizes - 1] = max(int(texts[k].max()) for k in own) + 1 + np.arange(len(own))
+    found = runs_of(words, np.repeat(np.arange(len(own)), sizes), np.repeat((sizes - 1) // min_times, sizes), min_words, min_times)
+    which = np.searchsorted(starts, found[:, 0], "right") - 1
+    found[:, 0] -= starts[which]
+    cuts = np.searchsorted(which, np.arange(len(own) + 1))
+    for k, a, b in zip(own, cuts, cuts[1:], strict=False):
+        out[k] = found[a:b]
     return out
 
 
@@ -245,17 +244,33 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS, min_times: int = MIN_
     schema = docs.select(*own).schema.add("runs", T.ArrayType(RUN)).add("collapsed", "string")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
 
+    def given(held: list[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        every = runs_of_texts([n for _, _, numbers in held for n in numbers], min_words, min_times)
+        for b, texts, _ in held:
+            found, every = every[: len(texts)], every[len(texts) :]
+            rows = np.concatenate(found)
+            spans = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], fields=list(kind.value_type))
+            offsets = pa.array(np.append(0, np.cumsum([len(r) for r in found])), pa.int32())
+            texts = [b" ".join(collapsed_words(words_of(t), r)) if len(r) else t for t, r in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, spans), pa.array(texts, pa.binary()).cast(pa.string())], names=[*own, "runs", "collapsed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, ids = [], 0, _Ids()
         for b in batches:
             if not b.num_rows:
                 continue
-            words = [words_of(t or b"") for t in b.column(b.num_columns - 1).to_pylist()]
-            found = runs_of_texts(words, min_words, min_times)
-            offsets = np.append(0, np.cumsum([len(r) for r in found]))
-            rows = np.concatenate(found)
-            spans = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], fields=list(kind.value_type))
-            texts = pa.array([b" ".join(collapsed_words(w, r)).decode("utf-8", "replace") for w, r in zip(words, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), texts], names=[*own, "runs", "collapsed"])
+            texts, numbers = [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                words = words_of(t or b"")
+                numbers.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                texts.append(b" ".join(words))
+                size += len(words)
+            held.append((b, texts, numbers))
+            if size >= CHUNK_WORDS:
+                yield from given(held)
+                held, size, ids = [], 0, _Ids()
+        if held:
+            yield from given(held)
 
     return docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("binary").alias("_words_of")).mapInArrow(tidied(run), schema)
 

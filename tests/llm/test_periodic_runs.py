@@ -6,7 +6,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from halocline.llm.periodic_runs import CHUNK_WORDS, Refinement, find_runs, runs_of_texts
+from halocline.llm import periodic_runs
+from halocline.llm.periodic_runs import Refinement, find_runs
 from halocline.llm.queries import op12_periodic_runs
 
 from .helpers import EXTRA, docs
@@ -28,6 +29,11 @@ def brute(words, min_words=24, min_times=3):
     return sorted((s, l, q) for s, l, q in out)
 
 
+def runs_of_texts(texts, *limits):
+    numbers = {}
+    return periodic_runs.runs_of_texts([np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64) for t in texts], *limits)
+
+
 def some_words(rng):
     letters = "abcdefgh"[: rng.choice([1, 2, 3, 8])]
     words = [rng.choice(letters) for _ in range(rng.randrange(60))]
@@ -42,7 +48,7 @@ def some_words(rng):
 def test_all_runs(least, times):
     rng = random.Random(least * 10 + times)
     texts = [some_words(rng) for _ in range(400)] + [list("a" * 100), list("ab" * 70), [], ["x"]]
-    found = runs_of_texts([[w.encode() for w in t] for t in texts], least, times)
+    found = runs_of_texts(texts, least, times)
     for t, f in zip(texts, found, strict=True):
         assert [tuple(r) for r in f.tolist()] == brute(t, least, times)
 
@@ -78,9 +84,8 @@ def test_rows_of_every_kind(spark):
 
 
 def test_long_text():
-    n = CHUNK_WORDS + 5
-    words = [b"%d" % k for k in range(n - 60_000)] + [b"%d" % (k % 20_000) for k in range(60_000)]
-    [found, _] = runs_of_texts([words, [b"a"] * 30])
+    n = 500_000
+    [found, _] = runs_of_texts([[*range(n - 60_000), *(k % 20_000 for k in range(60_000))], ["a"] * 30])
     assert found.tolist() == [[n - 60_000, 60_000, 20_000]]
 
 
