@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 from .decontam import decontaminate
+from .filter_audit import audit_filters
 from .language_model import score_documents
 from .licenses import TEMPLATES, normalised_words, scan_licenses, template_bigrams
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
 from .periodic_runs import find_runs, strongest_run
+from .sharding import SHARDS, reshard_documents
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .topk import exact_top_k
@@ -84,6 +86,13 @@ def _with_planted_runs(docs: DataFrame) -> DataFrame:
     return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("w", of), " ")).otherwise(F.col("text")).alias("text"))
 
 
+def op11_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents stand by source at first, so that one shard holds a third of them."""
+    by_source = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(SHARDS))
+    found = reshard_documents(table(spark, sf_dir, "documents"), by_source)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
@@ -93,7 +102,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op8_language_model, op9_simhash, op10_line_dedup, op12_periodic_runs)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_exact_top_k, op4_decontaminate, op5_warc, op6_mix_sources, op7_toxicity, op8_language_model, op9_simhash, op10_line_dedup, op11_reshard, op12_periodic_runs, op13_filter_audit)}
 
 
 def _quoted(text: str) -> str:
@@ -186,4 +199,21 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), '
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
-ORACLE_SQL = {"op2_substring_dedup": _OP2_SQL, "op3_exact_top_k": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op5_warc": _OP5_SQL, "op1_license_scan": _op1_sql(), "op6_mix_sources": _OP6_SQL, "op10_line_dedup": _OP10_SQL}
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+m AS (SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+             regexp_matches(text, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS f FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, f),
+k(k) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+x AS (SELECT part, o, step, o[step] AS filter, f[o[step]] AS fails, len(list_filter(o[1:step - 1], lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda b: b)) AS n_fails, n, good, toxic FROM c CROSS JOIN s),
+r AS (SELECT part, o, step, filter, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (fails AND n_fails = 1) AS unique_fails,
+             sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost FROM x GROUP BY part, o, step, filter)
+SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley FROM r"""
+
+ORACLE_SQL = {"op2_substring_dedup": _OP2_SQL, "op3_exact_top_k": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op5_warc": _OP5_SQL, "op1_license_scan": _op1_sql(), "op6_mix_sources": _OP6_SQL, "op10_line_dedup": _OP10_SQL, "op13_filter_audit": _OP13_SQL}
