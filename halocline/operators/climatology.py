@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,28 +32,26 @@ def normal_equations(df: DataFrame, keys: list[str], value: str = "v", day: str
     return named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), bins, *sums, *rhs)
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    for pdf in batches:
-        n = len(pdf)
-        a = np.zeros((n, N_COEFFS, N_COEFFS))
-        for p in range(N_COEFFS):
-            for q in range(p, N_COEFFS):
-                a[:, p, q] = a[:, q, p] = pdf[f"a{p}{q}"].to_numpy()
-        b = np.stack([pdf[f"b{p}"].to_numpy() for p in range(N_COEFFS)], axis=1)
-        ridge = 1e-3 * np.trace(a, axis1=1, axis2=2) / N_COEFFS + 1e-8
-        x = np.linalg.solve(a + ridge[:, None, None] * np.eye(N_COEFFS), b[:, :, None])[:, :, 0]
-        ok = (pdf["n"].to_numpy() >= MIN_COUNT) & (pdf["bins"].to_numpy() >= DOY_BINS)
-        yield pd.Series([row.tolist() if good else None for row, good in zip(x, ok, strict=True)])
-
-
 def solve_harmonics(sums: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, coeffs array<double>): ridge 1e-3 of the mean diagonal; NULL with under 5 values or an empty twelfth of the year.
 
-    The 5 by 5 systems of a whole Arrow batch are solved at once.
+    The 5 by 5 Cholesky decomposition is written out as columns, a step of it a projection, all in the JVM. The ridge keeps the pivots
+    above 0.
     """
-    solve = F.pandas_udf(_solve, "array<double>")
-    parts = [c for c in sums.columns if c not in keys]
-    return sums.select(*keys, solve(F.struct(*parts)).alias("coeffs"))
+    n = range(N_COEFFS)
+    a = lambda p, q: F.col(f"a{min(p, q)}{max(p, q)}")
+    ridge = 1e-3 * sum((a(p, p) for p in n[1:]), a(0, 0)) / N_COEFFS + 1e-8
+    out = sums.withColumn("_ridge", ridge)
+    less = lambda start, terms: reduce(lambda x, y: x - y, terms, start)
+    at = F.col
+    for q in n:
+        pivot = less(a(q, q) + at("_ridge"), [at(f"_l{q}{k}") * at(f"_l{q}{k}") for k in range(q)])
+        out = out.withColumn(f"_l{q}{q}", F.sqrt(pivot))
+        out = out.withColumns({f"_l{p}{q}": less(a(p, q), [at(f"_l{p}{k}") * at(f"_l{q}{k}") for k in range(q)]) / at(f"_l{q}{q}") for p in n[q + 1 :]} | {f"_y{q}": less(at(f"b{q}"), [at(f"_l{q}{k}") * at(f"_y{k}") for k in range(q)]) / at(f"_l{q}{q}")})
+    for q in reversed(n):
+        out = out.withColumn(f"_x{q}", less(at(f"_y{q}"), [at(f"_l{p}{q}") * at(f"_x{p}") for p in n[q + 1 :]]) / at(f"_l{q}{q}"))
+    ok = (F.col("n") >= MIN_COUNT) & (F.col("bins") >= DOY_BINS)
+    return out.select(*keys, F.when(ok, F.array(*[f"_x{q}" for q in n])).alias("coeffs"))
 
 
 def evaluate_harmonics(coeffs: Column, doy: Column, period: float = HARMONIC_PERIOD_DAYS) -> Column:

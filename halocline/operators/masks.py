@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +34,49 @@ def modality_mask(parts: list[Column], wet: Column) -> Column:
     return (reduce(Column.__and__, [p.isNotNull() for p in parts]) & (wet == 1)).cast("int")
 
 
+def lower_envelope(at: np.ndarray, height: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """min over k of (want - at[k])^2 + height[k], for all of want: the envelope of the parabolas, in linear time. at: ascending."""
+    kept: list[int] = []
+    begins: list[float] = []
+    x, h = at.tolist(), height.tolist()
+    for k in range(len(x)):
+        begin = -np.inf
+        while kept:
+            # from here on the new parabola is the lower one
+            begin = ((h[k] + x[k] * x[k]) - (h[kept[-1]] + x[kept[-1]] * x[kept[-1]])) / (2 * (x[k] - x[kept[-1]]))
+            if begin > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+            begin = -np.inf
+        kept.append(k)
+        begins.append(begin)
+    own = np.array(kept)[np.searchsorted(begins, want, "right") - 1]
+    return (want - at[own]) ** 2 + height[own]
+
+
 def coast_distance(cells: DataFrame, step: float = 0.25, km_per_degree: float = KM_PER_DEGREE) -> DataFrame:
     """cells (i, j, wet) -> (i, j, coast_km): Euclidean distance in index space to the nearest land cell, times step * km.
 
-    An exact distance transform in two passes: along each row the nearest land by two window scans, then down each column the
-    minimum over its rows. No pairs of cells are formed beyond one column's; without land all distances are 0.
+    An exact distance transform in two linear passes: along each row the nearest land by two window scans, then down each column the
+    lower envelope of the rows' parabolas, a column (as many cells as the grid is high) at a time. No pairs of cells are formed;
+    without land all distances are 0.
     """
     west = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     east = Window.partitionBy("i").orderBy("j").rowsBetween(0, Window.unboundedFollowing)
     land = F.when(F.col("wet") == 0, F.col("j"))
     left, right = F.col("j") - F.last(land, True).over(west), F.first(land, True).over(east) - F.col("j")
-    rows = cells.select("i", "j", F.least(left, right).alias("g"))
-    columns = rows.where("g is not null").groupBy("j").agg(F.collect_list(F.struct("i", (F.col("g") * F.col("g")).alias("g2"))).alias("col"))  # grid height entries
-    nearest = F.array_min(F.transform("col", lambda c: (c["i"] - F.col("i")) * (c["i"] - F.col("i")) + c["g2"]))
-    found = cells.select("i", "j").join(columns, "j", "left")
-    return found.select("i", "j", (F.sqrt(F.coalesce(nearest, F.lit(0)).cast("double")) * step * km_per_degree).alias("coast_km"))
+    rows = cells.select("i", "j", F.least(left, right).cast("long").alias("g"))
+    kinds = dict(cells.dtypes)
+
+    def down(column: pd.DataFrame) -> pd.DataFrame:
+        known = column[column["g"].notna()].sort_values("i")
+        i = column["i"].to_numpy(np.int64)
+        far = lower_envelope(known["i"].to_numpy(np.int64), known["g"].to_numpy(np.int64) ** 2, i) if len(known) else np.zeros(len(i), np.int64)
+        return pd.DataFrame({"i": column["i"], "j": column["j"], "d2": far})
+
+    found = rows.groupBy("j").applyInPandas(down, f"i {kinds['i']}, j {kinds['j']}, d2 long")
+    return found.select("i", "j", (F.sqrt(F.col("d2").cast("double")) * step * km_per_degree).alias("coast_km"))
 
 
 def static_fields(wet: DataFrame, bottom: DataFrame, coast: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.dates import SPLIT_DEV
 from ..functions.missing import clamp, safe_div
 from ..functions.special import Z_QUANTILE, gaussian_crps, gaussian_nll, inside_interval
 from ..functions.vertical import d20, d26, in_thermocline, mixed_layer_depth
+from .order_statistics import order_statistic
 
 ERROR_SUMS = ("n", "se", "se2", "sae", "sp", "st", "sp2", "st2", "spt", "ap", "at", "ap2", "at2", "apt")
 
@@ -102,12 +103,11 @@ def fit_alpha(pairs: DataFrame, keys: list[str], level: float = 0.9, low: float
     """(keys, alpha): the factor on sigma at which `level` of the truths lie in the interval; 1 without rows.
 
     Coverage is a step function of |truth - mean| / (z sigma), so bisection would end at its order statistic of rank
-    ceil(level * n): counted exactly by value, without a group in one task's memory.
+    ceil(level * n). That is found from counts by value range, so a group, however large, is in no task's memory.
     """
     r = F.abs(F.col("truth") - F.col("mean")) / (Z_QUANTILE[0.9] * F.col("sigma"))
-    rows = pairs.select(*keys, r.cast("double").alias("_r"))
-    q = F.expr(f"percentile_disc({level}) WITHIN GROUP (ORDER BY _r)")
-    return rows.groupBy(*keys).agg(F.coalesce(clamp(q, low, high), F.lit(1.0)).alias("alpha"))
+    found = order_statistic(pairs.select(*keys, r.cast("double").alias("_r")), keys, "_r", level)
+    return found.select(*keys, F.coalesce(clamp(F.col("_r"), low, high), F.lit(1.0)).alias("alpha"))
 
 
 def squared_error_rmse(pairs: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:

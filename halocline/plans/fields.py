@@ -116,9 +116,28 @@ def harmonic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("i", "j", "n", F.col("bins").cast("int").alias("bins"), *[r6(c, 4).alias(c) for c in ("a01", "a23", "a44", "b0", "b2")])
 
 
-@query()
+_TURN = 2 * 3.141592653589793 / 365.25
+_TERMS = lambda w: ("1e0", f"cos({w})", f"sin({w})", f"cos(2 * {w})", f"sin(2 * {w})")
+
+
+def _harmonic_fit_sql() -> str:
+    """Normal equations, then Gauss-Jordan elimination on the five rows of [A + ridge | b], a row and a step at a time."""
+    n, t = range(5), _TERMS("w")
+    a = lambda p, q: f"a{min(p, q)}{max(p, q)}"
+    sums = ", ".join([f"sum({t[p]} * {t[q]}) AS {a(p, q)}" for p in n for q in n[p:]] + [f"sum(v * {t[p]}) AS b{p}" for p in n])
+    ridge = f"(1e-3 * ({' + '.join(a(p, p) for p in n)}) / 5 + 1e-8)"
+    steps = [f"g0 AS (SELECT i, j, n, bins, {', '.join(f'{a(p, q)}' + (f' + {ridge}' if p == q else '') + f' AS m{p}{q}' for p in n for q in n)}, {', '.join(f'b{p} AS m{p}5' for p in n)} FROM s)"]
+    for k in n:
+        cells = [f"m{p}{q} / m{k}{k} AS m{p}{q}" if p == k else f"m{p}{q} - m{p}{k} * (m{k}{q} / m{k}{k}) AS m{p}{q}" for p in n for q in range(k + 1, 6)]
+        steps.append(f"g{k + 1} AS (SELECT i, j, n, bins, {', '.join(cells)} FROM g{k})")
+    days = ", ".join(f"CASE WHEN n >= 5 AND bins >= 12 THEN round({' + '.join(f'm{p}5 * {x}' for p, x in zip(n, _TERMS(f'({d} * {_TURN!r}e0)'), strict=True))}, 6) + 0e0 END AS doy_{d}" for d in (1, 92, 183, 275))
+    return f"""WITH {OBS}, h AS (SELECT i, j, v, dayofyear(day) * {_TURN!r}e0 AS w, floor((dayofyear(day) - 1) * 12 / 366) AS bin FROM obs WHERE {SPLIT.format('day')} = 0),
+s AS (SELECT i, j, count(*) AS n, count(DISTINCT bin) AS bins, {sums} FROM h GROUP BY i, j), {', '.join(steps)} SELECT i, j, {days} FROM g5"""
+
+
+@query(_harmonic_fit_sql())
 def harmonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 by 5 ridge solutions, evaluated on four days of the year; tests compare them with a direct solve."""
+    """The 5 by 5 ridge solutions, evaluated on four days of the year."""
     train = A.obs(spark, sf_dir).where(dates.split_code(F.col("day"), A.YEARS) == 0)
     fit = climatology.solve_harmonics(climatology.normal_equations(train, ["i", "j"]), ["i", "j"])
     days = [climatology.evaluate_harmonics(F.col("coeffs"), F.lit(d)) for d in (1, 92, 183, 275)]
@@ -221,14 +240,19 @@ def feature_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 @query(f"""WITH {MONTHLY}, cells AS (SELECT i, j, CASE WHEN (i * 7 + j * 5) % 11 = 0 THEN 0 ELSE 1 END AS wet FROM (SELECT DISTINCT i, j FROM obs)),
 cd AS (SELECT a.i, a.j, min(sqrt((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j))) * 27.75e0 AS coast FROM cells a JOIN cells b ON b.wet = 0 GROUP BY a.i, a.j),
-z AS (SELECT day, i, j, coalesce(sst, 0) AS sst, coalesce(sss, 0) AS sss, coalesce(sst - 25, 0) AS sla, coalesce(sst - 20, 0) AS wu, coalesce(sss - 30, 0) AS wv, CASE WHEN sss IS NULL THEN 0e0 ELSE 1e0 END AS m FROM mg),
-g AS (SELECT *, {_grad_sql('sla', 'i', 'j')} AS gy, {_grad_sql('sla', 'j', 'i')} AS gx, {_grad_sql('wv', 'j', 'i')} - {_grad_sql('wu', 'i', 'j')} AS curl FROM z)
-SELECT g.day, g.i, g.j, round(sst, 5) AS sst, m AS mask_wnd, round(sqrt(gy * gy + gx * gx), 5) + 0e0 AS sla_grad_mag, round(curl, 5) + 0e0 AS wind_curl, 5.125e0 + 0.25e0 * g.i AS lat, round(sin(dayofyear(day) * {2 * 3.141592653589793 / 365.25!r}e0), 6) + 0e0 AS sin_doy, round(coast, 5) AS coast_distance
-FROM g JOIN cells c ON c.i = g.i AND c.j = g.j AND c.wet = 1 JOIN cd ON cd.i = g.i AND cd.j = g.j""")
+o AS (SELECT a.i AS di, b.j AS dj FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
+nb AS (SELECT t.day, t.i, t.j, avg(s.sst) AS nbr FROM mg t CROSS JOIN o JOIN mg s ON s.day = t.day AND s.i = greatest(0, least(9, t.i + di)) AND s.j = greatest(0, least(23, t.j + dj)) GROUP BY t.day, t.i, t.j),
+z AS (SELECT day, i, j, sst AS s, sss AS t, coalesce(sst, 0) AS sst, coalesce(sss, 0) AS sss, coalesce(sst - 25, 0) AS sla, coalesce(sst - 20, 0) AS wu, coalesce(sss - 30, 0) AS wv, dayofyear(day) * {2 * 3.141592653589793 / 365.25!r}e0 AS turn FROM mg),
+g AS (SELECT *, {_grad_sql('sla', 'i', 'j')} AS gy, {_grad_sql('sla', 'j', 'i')} AS gx, {_grad_sql('sst', 'i', 'j')} AS hy, {_grad_sql('sst', 'j', 'i')} AS hx, {_grad_sql('wv', 'j', 'i')} - {_grad_sql('wu', 'i', 'j')} AS curl FROM z)
+SELECT g.day, g.i, g.j, round(sst, 5) AS sst, round(sss, 5) AS sss, round(sla, 5) + 0e0 AS sla, round(sst / 10, 5) AS cur_u, round(sss / 10, 5) AS cur_v, round(wu, 5) + 0e0 AS wnd_u, round(wv, 5) + 0e0 AS wnd_v,
+CAST(s IS NOT NULL AS DOUBLE) AS mask_sst, CAST(t IS NOT NULL AS DOUBLE) AS mask_sss, CAST(s IS NOT NULL AS DOUBLE) AS mask_sla, CAST(t IS NOT NULL AS DOUBLE) AS mask_cur, CAST(t IS NOT NULL AS DOUBLE) AS mask_wnd,
+round(coalesce(nbr - 25, 0), 5) + 0e0 AS nbr_mean_sla, round(coalesce(nbr, 0), 5) AS nbr_mean_sst, round(sqrt(gy * gy + gx * gx), 5) + 0e0 AS sla_grad_mag, round(sqrt(hy * hy + hx * hx), 5) + 0e0 AS sst_grad_mag,
+round(curl, 5) + 0e0 AS wind_curl, round(sqrt(wu * wu + wv * wv), 5) AS wind_speed, 5.125e0 + 0.25e0 * g.i AS lat, 45.125e0 + 0.25e0 * g.j AS lon, round(sin(turn), 5) + 0e0 AS sin_doy, round(cos(turn), 5) + 0e0 AS cos_doy, round(g.i / 10, 5) AS water_depth, round(coast, 5) AS coast_distance
+FROM g JOIN nb USING (day, i, j) JOIN cells c ON c.i = g.i AND c.j = g.j AND c.wet = 1 JOIN cd ON cd.i = g.i AND cd.j = g.j""")
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, static = feature_inputs(spark, sf_dir)
     f = features.build_features(x, static, A.GRID)
-    return f.select("day", "i", "j", r6("sst", 5).alias("sst"), "mask_wnd", r6("sla_grad_mag", 5).alias("sla_grad_mag"), r6("wind_curl", 5).alias("wind_curl"), "lat", r6("sin_doy").alias("sin_doy"), r6("coast_distance", 5).alias("coast_distance"))
+    return f.select("day", "i", "j", *[r6(c, 5).alias(c) for c in features.FEATURES])
 
 
 _TILES_I = windows.axis_plan(10, 8, 4)

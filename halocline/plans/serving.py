@@ -66,12 +66,13 @@ def depth_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKS = [0.5 * d / 200 if d <= 200 else 0.5 + 0.5 * (d - 200) / 800 for d in A.BIN_DEPTHS]
-_MARK_CTE = "mk(b, m0, m1) AS (VALUES " + ", ".join(f"({k}, {a!r}e0, {b!r}e0)" for k, (a, b) in enumerate(zip(_MARKS, _MARKS[1:], strict=False))) + ")"
+# pixel row -> the first pair of marks around it: constants, as every section has the same depths
+_BRACKETS = {y: next(((k, a, b) for k, (a, b) in enumerate(zip(_MARKS, _MARKS[1:], strict=False)) if a <= y / 8 <= b), None) for y in range(9)}
+_PIXEL_CTE = "px(y, ny, b, m0, m1) AS (VALUES " + ", ".join(f"({y}, {y / 8!r}e0, {k[0]}, {k[1]!r}e0, {k[2]!r}e0)" if k else f"({y}, {y / 8!r}e0, NULL, NULL, NULL)" for y, k in _BRACKETS.items()) + ")"
 
 
-@query(f"""WITH {BINNED}, {_MARK_CTE}, px AS (SELECT p.key, CAST(y.y AS INTEGER) AS y, y.y / 8e0 AS ny FROM (SELECT DISTINCT key FROM prof) p, range(9) y(y)),
-h AS (SELECT px.*, mk.b, m0, m1, row_number() OVER (PARTITION BY px.key, px.y ORDER BY mk.b) AS r FROM px JOIN mk ON ny >= m0 AND ny <= m1),
-v AS (SELECT px.key, px.y, a.t + (px.ny - h.m0) / (h.m1 - h.m0) * (c.t - a.t) AS value FROM px LEFT JOIN h ON h.key = px.key AND h.y = px.y AND h.r = 1 LEFT JOIN prof a ON a.key = h.key AND a.b = h.b LEFT JOIN prof c ON c.key = h.key AND c.b = h.b + 1)
+@query(f"""WITH {BINNED}, {_PIXEL_CTE}, t AS (SELECT key, list(t ORDER BY b) AS ts FROM prof GROUP BY key),
+v AS (SELECT key, CAST(y AS INTEGER) AS y, ts[b + 1] + (ny - m0) / (m1 - m0) * (ts[b + 2] - ts[b + 1]) AS value FROM t CROSS JOIN px)
 SELECT key AS section_id, CAST(x.x AS INTEGER) AS x, y, round(value, 6) AS value, coalesce(CASE WHEN value IS NOT NULL THEN {_ramp_sql('thermal', 'value', 1, 2.0, 32.0)} END, 14) AS r FROM v, range(2) x(x)""")
 def section_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster of one-column sections, one for every profile."""
