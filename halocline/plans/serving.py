@@ -12,7 +12,7 @@ from ..operators import masks, matching, metrics, models, serving
 from ..operators.features import MASK_OF, X_VARS
 from ..session import scratch_dir
 from ..sources import catalogue, profiles, reports, store
-from ..streaming import twins
+from ..streaming import closing, twins
 from . import adapters as A
 from .registry import BINNED, CELLS, FIELD, MONTHLY, OBS, PAIRS, POINTS, query, r6
 
@@ -195,6 +195,25 @@ def stream_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", "user_id", "n", r6("s", 4).alias("s"), r6("ss", 4).alias("ss"))
 
 
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, ts, event_type, value, least(2, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10 + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END) AS piece FROM events),
+m AS (SELECT piece, max(ts) AS top FROM e GROUP BY piece), w AS (SELECT p.piece, max(b.top) - INTERVAL 3 DAY AS mark FROM m p LEFT JOIN m b ON b.piece < p.piece GROUP BY p.piece),
+x AS (SELECT e.*, coalesce(day + 1 <= mark, false) AS late FROM e JOIN w USING (piece))
+SELECT day, event_type, count(value) FILTER (NOT late) AS n, round(coalesce(sum(value) FILTER (NOT late), 0), 4) AS s, count(*) FILTER (late) AS n_late FROM x
+WHERE day + 1 <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY day, event_type""")
+def stream_closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive in three pieces of ten days; one in fifty comes a piece late. Days are closed three days after their end."""
+    e = A.events(spark, sf_dir).select("event_id", "ts", "event_type", "value")
+    late_by = F.when(F.col("event_id") % 50 == 7, 1).otherwise(0)
+    piece = F.least(F.lit(2), F.floor(F.datediff("ts", F.to_date(F.lit("2024-01-01"))) / 10) + late_by)
+    ledger = closing.new_ledger(spark, scratch_dir(spark), e.schema, ["event_type"])
+    for k in range(3):
+        ledger.arrive(e.where(piece == k))
+    late = ledger.late_rows().groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n_late"))
+    both = ledger.closed().join(late, ["day", "event_type"], "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return both.select("day", "event_type", zero("n").alias("n"), r6(F.coalesce("s", F.lit(0.0)), 4).alias("s"), zero("n_late").alias("n_late"))
+
+
 @query("SELECT user_id, count(value) AS n, round(sum(value), 4) AS s, round(sum(value * value), 4) AS ss FROM events GROUP BY user_id")
 def stream_merged_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of two streams, of the even and the odd events, added up."""

@@ -24,7 +24,11 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 
 
 def daily_sums(events: DataFrame, keys: list[str], value: str = "value", late: str = "60 days") -> DataFrame:
-    """Tumbling days: additive n, s, ss per key; later than `late` behind the newest event is dropped."""
+    """Tumbling days: additive n, s, ss per key.
+
+    In append mode a day is given once, when the newest event is `late` past its end, and rows that come after that are dropped
+    (closing.DayLedger keeps them apart). In complete mode, as drained() runs it, all days stay in the state and no row is dropped.
+    """
     v = F.col(value).cast("double")
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), *keys)
     return grouped.agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss")).select(F.to_date("w.start").alias("day"), *keys, *SUMS)
