@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..operators import metrics, models, spectral
+from ..operators.boosting import MIN_DATA_IN_LEAF, UNIT, even_cuts, fit_booster
+from ..operators.features import FEATURES
+from ..session import written
 from . import adapters as A
-from .registry import PAIRS, query, r6
+from . import fields  # noqa: F401  the boosted trees read its feature table
+from .registry import ORACLE_SQL, PAIRS, QUERIES, query, r6
 
 _SUMS = """count(*) AS n, sum(pred - truth) AS se, sum((pred - truth) * (pred - truth)) AS se2, sum(abs(pred - truth)) AS sae, sum(pred) AS sp, sum(truth) AS st, sum(pred * pred) AS sp2, sum(truth * truth) AS st2, sum(pred * truth) AS spt,
 sum(pred - clim) AS ap, sum(truth - clim) AS at_, sum((pred - clim) * (pred - clim)) AS ap2, sum((truth - clim) * (truth - clim)) AS at2, sum((pred - clim) * (truth - clim)) AS apt"""
@@ -119,17 +123,51 @@ def power_ratio_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.power_ratio(grid, ["day"], A.GRID.ny, A.GRID.nx).withColumn("power_ratio", r6("power_ratio"))
 
 
-@query()
+_GBM_BINS, _GBM_TREES, _GBM_LEAVES, _GBM_RATE = 16, 2, 4, 0.3
+
+
+def _gbm_sql() -> str:
+    """The same trees grown in SQL: a split of one leaf at a time, its histogram summed anew each time, in whole numbers."""
+    listed = ", ".join(FEATURES)
+    parts = [
+        f"ft AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY day, i, j) AS id FROM ({ORACLE_SQL['feature_table']}))",
+        f"lg AS (SELECT id, name, list_position(string_split('{','.join(FEATURES)}', ','), name) - 1 AS f, x FROM (UNPIVOT (SELECT id, {listed} FROM ft) ON {listed} INTO NAME name VALUE x))",
+        "ends AS MATERIALIZED (SELECT f, min(x) AS low, max(x) AS high FROM lg GROUP BY f)",
+        f"bn AS MATERIALIZED (SELECT id, lg.f, len(list_filter(range(1, {_GBM_BINS}), lambda k: low + (high - low) * k / {_GBM_BINS} < x)) AS bin FROM lg JOIN ends USING (f))",
+    ]
+    for t, y in (("ta", "sst * 0.9e0"), ("tb", "CASE WHEN mask_sss = 1 THEN sss * 0.5e0 END")):
+        parts.append(f"{t}y AS MATERIALIZED (SELECT id, year(day) <= 1998 AND y IS NOT NULL AS own, CAST(round(y * {UNIT}) AS BIGINT) AS y FROM (SELECT id, day, {y} AS y FROM ft))")
+        parts.append(f"{t}n AS MATERIALIZED (SELECT CAST(floor(CAST(sum(y) AS DOUBLE) / count(*) + 0.5e0) AS BIGINT) AS start, least({MIN_DATA_IN_LEAF}, greatest(1, count(*) // 4)) AS least FROM {t}y WHERE own)")
+        before = f"(SELECT id, own, y, start AS p FROM {t}y CROSS JOIN {t}n)"
+        for k in range(_GBM_TREES):
+            at = f"{t}{k}_0"
+            parts.append(f"{at} AS MATERIALIZED (SELECT id, own, p, p - y AS g, 0 AS node FROM {before})")
+            for s in range(1, _GBM_LEAVES):
+                to = f"{t}{k}_{s}"
+                parts.append(f"{to}h AS (SELECT node, f, bin, sum(g) AS g, count(*) AS n FROM {at} JOIN bn USING (id) WHERE own GROUP BY node, f, bin)")
+                parts.append(f"{to}c AS (SELECT node, f, bin, CAST(sum(g) OVER w AS DOUBLE) AS gl, sum(n) OVER w AS nl, CAST(sum(g) OVER v AS DOUBLE) AS g, sum(n) OVER v AS n FROM {to}h WINDOW w AS (PARTITION BY node, f ORDER BY bin), v AS (PARTITION BY node, f))")
+                parts.append(f"{to}b AS MATERIALIZED (SELECT node, f, bin FROM (SELECT node, f, bin, gl * gl / nl + (g - gl) * (g - gl) / nullif(n - nl, 0) - g * g / n AS gain FROM {to}c WHERE nl >= (SELECT least FROM {t}n) AND n - nl >= (SELECT least FROM {t}n)) WHERE gain > 0 ORDER BY gain DESC, node, f, bin LIMIT 1)")
+                parts.append(f"{to} AS MATERIALIZED (SELECT a.id, own, p, g, CASE WHEN a.node = b.node AND bn.bin > b.bin THEN {s} ELSE a.node END AS node FROM {at} a LEFT JOIN {to}b b ON true LEFT JOIN bn ON bn.id = a.id AND bn.f = b.f)")
+                at = to
+            parts.append(f"{t}{k}v AS (SELECT node, CAST(floor(-CAST(sum(g) AS DOUBLE) * {_GBM_RATE!r}e0 / count(*) + 0.5e0) AS BIGINT) AS v FROM {at} WHERE own GROUP BY node)")
+            parts.append(f"{t}{k}p AS MATERIALIZED (SELECT id, own, p + v AS p, p - g AS y FROM {at} JOIN {t}{k}v USING (node))")
+            before = f"{t}{k}p"
+    last = _GBM_TREES - 1
+    return f"WITH {', '.join(parts)} SELECT day, i, j, round(a.p / {UNIT}e0, 6) AS pred_t_0, round(b.p / {UNIT}e0, 6) AS pred_t_100 FROM ft JOIN ta{last}p a USING (id) JOIN tb{last}p b USING (id)"
+
+
+@query(_gbm_sql())
 def gbm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees fitted on training rows of the features, scored on all; a different learner than others' boosters."""
-    from ..operators.features import FEATURES, build_features
-    from .fields import feature_inputs
-
-    x, static = feature_inputs(spark, sf_dir)
-    f = build_features(x, static, A.GRID).withColumns({"t_0": F.col("sst") * 0.9, "t_100": F.when(F.col("mask_sss") == 1, F.col("sss") * 0.5)})
-    fitted = models.train_depth_models(f.where(F.year("day") <= 1998), ["t_0", "t_100"], FEATURES, trees=3, depth=3)
-    models.check_models(fitted)
-    return models.score_depth_models(f, fitted).select("day", "i", "j", r6("pred_t_0").alias("pred_t_0"), r6("pred_t_100").alias("pred_t_100"))
+    """Boosted leaf-wise trees of two targets, fitted on training rows of the features, scored on all rows."""
+    f = QUERIES["feature_table"](spark, sf_dir).withColumns({"t_0": F.col("sst") * 0.9, "t_100": F.when(F.col("mask_sss") == 1, F.col("sss") * 0.5)})
+    f = written(f, "features")
+    cuts = even_cuts(f, list(FEATURES), _GBM_BINS)
+    out = f
+    for target in ("t_0", "t_100"):
+        fitted = fit_booster(f.where(F.year("day") <= 1998), target, list(FEATURES), cuts, _GBM_TREES, _GBM_LEAVES, _GBM_RATE)
+        fitted.check()
+        out = fitted.predict(out, f"pred_{target}")
+    return out.select("day", "i", "j", r6("pred_t_0").alias("pred_t_0"), r6("pred_t_100").alias("pred_t_100"))
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS z, l_quantity AS clim, l_extendedprice / 1000 AS truth, CASE WHEN l_suppkey % 11 = 0 THEN 0 ELSE 1 END AS wet, CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE 1 END AS bottom FROM lineitem), m AS (SELECT *, z * 2e0 + 0.5e0 + clim AS mean FROM v)
