@@ -81,8 +81,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     Text and templates are normalised alike (A-Z lower-cased, ASCII other than letters and digits to a space) and
     compared as sets of word bigrams: 2 |A and B| / (|A| + |B|). Compared are
     * each line, and each text of several lines as a whole: the best template that reaches the threshold t, ties to the first name;
-    * wrapped notices: as many words as a template has, from the start of each line that is shorter. Of findings that
-      overlap, such a span stays only if none has a higher coefficient; ties go to single lines, then to the first line and name.
+    * wrapped notices: as many words as a template has, from the start of each line that is shorter. Findings are taken by
+      coefficient; such a span stays if it overlaps none that stayed before. Ties go to single lines, then to the first line and name.
     A template whose size is out of [t/(2-t), (2-t)/t] times the other's can't reach t, and is not compared; nor is one of which the
     whole text lacks so many bigrams that t is out of reach. That settles nearly all texts with one intersection, and what
     is left is judged in its row: nothing is shuffled. The templates are a fixed, small table held in the plan.
@@ -136,9 +136,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     reach = lambda c: F.filter(c, lambda x: x["minus"] <= -t)
     found = lined.select("doc_id", "lines", once(reach(F.concat(single, F.flatten(F.transform("lines", spans)))), "found"), once(reach(whole), "whole"))
-    # structs compare by coefficient, then single lines first, then line and name
-    beats = lambda y, x: (y < x) & (y["begin"] < x["end"]) & (x["begin"] < y["end"])
-    kept = F.filter("found", lambda x: ~x["wrapped"] | ~F.exists("found", lambda y: beats(y, x)))
+    # structs compare by coefficient, then single lines first, then line and name: the best come first, and give way to nothing
+    meets = lambda y, x: (y["begin"] < x["end"]) & (x["begin"] < y["end"])
+    none = F.filter("found", lambda x: F.lit(False))
+    kept = F.aggregate(F.array_sort("found"), none, lambda so_far, x: F.when(~x["wrapped"] | ~F.exists(so_far, lambda y: meets(y, x)), F.concat(so_far, F.array(x))).otherwise(so_far))
     last = lambda x: F.when(x["line"] == 0, F.size("lines")).when(x["wrapped"], F.size(F.filter("lines", lambda l: l["begin"] < x["end"]) )).otherwise(x["line"])
     out = F.transform(F.concat("whole", kept), lambda x: _named(line=x["line"], last_line=last(x).cast("int"), license_id=x["id"], dice=-x["minus"]))
     return found.select("doc_id", F.inline(out))

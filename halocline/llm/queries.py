@@ -130,9 +130,9 @@ u AS (SELECT doc_id, 0 AS line, FALSE AS wrapped, 0 AS s, len(w) AS e, w, id, gr
 a AS (SELECT doc_id, line, wrapped, s, e, id, grams, n, {grams("u")} AS a FROM (SELECT *, list_slice(w, s + 1, e) AS u FROM u)),
 f AS (SELECT * FROM (SELECT doc_id, line, wrapped, s, e, id, 2.0 * len(list_intersect(a, grams))::DOUBLE / (len(a) + n)::DOUBLE AS dice FROM a) WHERE dice >= 0.8),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, wrapped ORDER BY dice DESC, id) AS r FROM f),
-r AS (SELECT * FROM b WHERE NOT wrapped AND r = 1
-      UNION ALL SELECT * FROM b x WHERE wrapped AND NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.line > 0 AND y.s < x.e AND x.s < y.e
-                AND (y.dice > x.dice OR (y.dice = x.dice AND (NOT y.wrapped OR y.line < x.line OR (y.line = x.line AND y.id < x.id))))))
+g AS (SELECT doc_id, list([{{'line': line, 'wrapped': wrapped, 's': s, 'e': e, 'id': id, 'dice': dice}}] ORDER BY dice DESC, wrapped, line, id) AS l FROM b WHERE line > 0 AND (wrapped OR r = 1) GROUP BY doc_id),
+q AS (SELECT doc_id, unnest(list_reduce(l, lambda k, x: CASE WHEN NOT x[1].wrapped OR len(list_filter(k, lambda y: y.s < x[1].e AND x[1].s < y.e)) = 0 THEN list_concat(k, x) ELSE k END), recursive := true) FROM g),
+r AS (SELECT doc_id, line, wrapped, s, e, id, dice FROM b WHERE line = 0 AND r = 1 UNION ALL SELECT doc_id, line, wrapped, s, e, id, dice FROM q)
 SELECT doc_id, CAST(line AS INTEGER) AS line, id AS license_id, dice,
        CAST(CASE WHEN line = 0 THEN (SELECT count(*) FROM o WHERE o.doc_id = r.doc_id) WHEN wrapped THEN (SELECT count(*) FROM o WHERE o.doc_id = r.doc_id AND o.s < r.e) ELSE line END AS INTEGER) AS last_line FROM r"""
 

@@ -1,3 +1,4 @@
+import functools
 import textwrap
 
 import pytest
@@ -33,7 +34,12 @@ def brute(text, threshold=0.8, templates=TEMPLATES):
                 d = -dice(words[starts[k] : end], n)
                 if d <= -threshold:
                     found.append((d, True, k + 1, n, starts[k], end))
-    kept = [x for x in found if not x[1] or not any(y < x and y[4] < x[5] and x[4] < y[5] for y in found)]
+    # spans that stay: those for which every better one that they meet had to go
+    @functools.cache
+    def stays(x):
+        return not x[1] or not any(y < x and y[4] < x[5] and x[4] < y[5] and stays(y) for y in found)
+
+    kept = [x for x in found if stays(x)]
     out = [(0, last, n, round(-d, 9)) for _, last, d, n in whole if d <= -threshold]
     return out + [(x[2], sum(s < x[5] for s in starts) if x[1] else x[2], x[3], round(-x[0], 9)) for x in kept]
 
@@ -65,6 +71,18 @@ def test_wrapped_notices_inside_longer_texts(spark, width):
     assert {r[3] for r in want} == set(TEMPLATES)
 
 
+def test_a_span_that_gives_way_hides_no_other(spark):
+    """A notice right behind another, with another last line: the spans in between overlap both, and go."""
+    notice = "\n".join(textwrap.wrap(TEMPLATES["MIT"], 60))
+    edited = notice.rsplit("\n", 1)[0] + "\nwith no promise at all"
+    for between in ("\n", "\nx\n", "\n\n"):
+        text = "code here\n" + notice + between + edited + "\nreturn value\n" * 9
+        got = [r for r in found(spark, [text]) if r[3] == "MIT" and r[1] > 0]
+        assert got == [(0, *r) for r in sorted(brute(text)) if r[2] == "MIT" and r[0] > 0]
+        second = 2 + notice.count("\n") + between.count("\n")
+        assert len(got) == 2 and got[0][1] == 2 and got[1][1] in (second - 1, second)
+
+
 def test_overlapping_spans_small_templates_and_no_templates(spark):
     templates = {"ab": "a b", "one": "one", "long": "a b c d e f g h i j", "twin": "a b c d e f g h i j"}
     texts = ["a\nb", "a b", "x\na b c d\ne f g h i j\na b", "a b c d\n\ne f\ng h i\nj k l", "a b c d e\nf g h i\na b c d e f\ng h i j"]
