@@ -29,8 +29,11 @@ def crop_to_box(df: DataFrame, columns: list[str], grid: Grid = DEFAULT_GRID, ma
     lat1, lon1 = lat0 + grid.ny * grid.step + 2 * margin, lon0 + grid.nx * grid.step + 2 * margin
     std = standard_names(df)
     own = [c for c in ("ts", "day", "lat", "lon", "depth", "month") if c in std.columns]
-    # sources that store -180..180 are pruned by row-group statistics; those that store 0..360 need the wrapped test
-    out = std.select(*own, *columns).where(F.col("lat").between(lat0, lat1)).withColumn("lon", wrap_lon(F.col("lon"))).where(F.col("lon").between(lon0, lon1))
+    # longitudes of the box as sources may store them, a turn apart: ranges that reach the scan and its statistics (-360..720, a bit wider
+    # against rounding), and the exact test on the wrapped value
+    stored = reduce(lambda a, b: a | b, [F.col("lon").between(lon0 + turn - 1e-6, lon1 + turn + 1e-6) for turn in (-360.0, 0.0, 360.0)])
+    near = std.select(*own, *columns).where(F.col("lat").between(lat0, lat1) & (stored | ~F.col("lon").between(-360.0, 720.0)))
+    out = near.withColumn("lon", wrap_lon(F.col("lon"))).where(F.col("lon").between(lon0, lon1))
     if check and out.isEmpty():
         raise ValueError("nothing lies in the box")
     return out
