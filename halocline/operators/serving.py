@@ -76,6 +76,28 @@ def cached_day_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("model", "day").distinct()
 
 
+def day_meta(fields: DataFrame, value: str = "mean") -> DataFrame:
+    """fields (model, day, value) -> (model, day, cells, missing, low, high, average): what a client is told of a day; one aggregate."""
+    v = F.col(value)
+    return fields.groupBy("model", "day").agg(F.count(F.lit(1)).alias("cells"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("average"))
+
+
+def write_day_meta(meta: DataFrame, path: str) -> None:
+    """Beside the cache of days, to be written after its fields: a day counts as finished once its metadata is there."""
+    meta.repartition("model", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "day").parquet(f"{path.rstrip('/')}-meta")
+
+
+def read_day_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(model, day, ...) of all finished days; conditions on model and day leave out other days' files."""
+    found = spark.read.parquet(f"{path.rstrip('/')}-meta")
+    return found.select("model", F.col("day").cast("date").alias("day"), *[c for c in found.columns if c not in ("model", "day")])
+
+
+def unfinished_days(wanted: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """wanted (model, day) without metadata: what a run that goes on has to work out."""
+    return wanted.join(read_day_meta(spark, path).select("model", "day"), ["model", "day"], "left_anti")
+
+
 def profile_payload(columns: DataFrame, depths: tuple = STANDARD_DEPTHS_M) -> DataFrame:
     """columns (..., mean, ref, obs arrays) -> adds D20, D26, MLD and the RMSE against either."""
     return columns.withColumns({"d20_m": d20(F.col("mean"), depths), "d26_m": d26(F.col("mean"), depths), "mld_m": mixed_layer_depth(F.col("mean"), depths), "rmse_ref": profile_rmse(F.col("mean"), F.col("ref")), "rmse_obs": profile_rmse(F.col("mean"), F.col("obs"))})

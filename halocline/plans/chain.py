@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo, missing, vertical
 from ..operators import climatology, matching, metrics, models, qc, serving, spectral
-from ..session import scratch_dir
+from ..session import scratch_dir, written
 from ..sources import products, profiles, reports, store, synthetic
 from . import adapters as A
 from . import assemble
@@ -413,6 +413,21 @@ def cached_day_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.cached_day_list(spark, _day_cache(spark, sf_dir))
 
 
+@query(f"""WITH {MONTHLY}, f AS (SELECT 'lite' AS model, day, sst AS v FROM mg UNION ALL SELECT 'gbm', day, sss FROM mg)
+SELECT model, day, count(*) AS cells, count(*) FILTER (v IS NULL) AS missing, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS average, model = 'lite' AND year(day) = 1995 AS again FROM f GROUP BY model, day""")
+def cached_day_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of every cached day of both models; the days of a year of one model, left out at first, are found and added."""
+    path = _day_cache(spark, sf_dir)
+    fields = spark.read.parquet(path)
+    late = (F.col("model") == "lite") & (F.year("day") == 1995)
+    serving.write_day_meta(serving.day_meta(fields.where(~late)), path)
+    left = serving.unfinished_days(serving.cached_day_list(spark, path), spark, path)
+    again = written(left, "unfinished-days")
+    serving.write_day_meta(serving.day_meta(fields.join(again, ["model", "day"], "left_semi")), path)
+    found = serving.read_day_meta(spark, path).join(again.withColumn("again", F.lit(True)), ["model", "day"], "left")
+    return found.select("model", "day", "cells", "missing", *[r6(c).alias(c) for c in ("low", "high", "average")], F.coalesce("again", F.lit(False)).alias("again"))
+
+
 @query(f"WITH {MONTHLY} SELECT day, round(avg(sst), 6) AS mean FROM mg GROUP BY day")
 def computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result that is computed and written when first asked for, and read from then on."""
