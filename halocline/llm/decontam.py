@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,9 +155,8 @@ class _Queries:
                 yield w, len(own) if slop is None else 1, places
 
 
-def _search(segments: DataFrame, block: list, slop: int | None) -> DataFrame:
+def _search(segments: DataFrame, shared: Broadcast, slop: int | None) -> DataFrame:
     """(key, row_id, doc_id, n_words, n_hit, starts, lengths, items): one row per document of every segment, for a block of windows."""
-    shared = segments.sparkSession.sparkContext.broadcast(_Queries(block))  # BLOCK_WINDOWS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
@@ -192,19 +192,28 @@ def search_index(segments: DataFrame, items: DataFrame, window: int = WINDOW, sl
 
     slop None: exact occurrences of item windows (starts, lengths in words). slop n: proximity matches, the places
     of a window's rarest term with all its other terms within n words, in any order. The index's gap must not be smaller
-    than the window, and larger than slop. Windows are searched in blocks of BLOCK_WINDOWS, so that what the executors hold is bounded.
+    than the window, and larger than slop. Windows are searched in blocks of BLOCK_WINDOWS, one after another, so that what the driver and the
+    executors hold is bounded however large the benchmark is.
     """
     windows = written(item_windows(items, window).groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     part = F.pmod(F.xxhash64("terms"), F.lit(blocks))
-    found = [_search(segments, windows.where(part == k).collect(), slop) for k in range(blocks)]
+    context = segments.sparkSession.sparkContext
+    send = lambda k: context.broadcast(_Queries(windows.where(part == k).collect()))  # noqa: E731  BLOCK_WINDOWS or so
     if blocks == 1:
-        return found[0].drop("key")
-    # several blocks: words are counted once all places of a document are together
-    joint = reduce(DataFrame.unionByName, found).drop("n_hit")
-    first = {c: F.first(c) for c in ("row_id", "doc_id", "n_words")}
+        return _search(segments, send(0), slop).drop("key")
+    # several blocks, one at a time: the hits of a block are written before the next one is fetched and sent
+    hits = []
+    for k in range(blocks):
+        shared = send(k)
+        hits.append(written(_search(segments, shared, slop).where("size(starts) > 0").select("key", "starts", "lengths", "items"), "hits"))
+        shared.destroy()
+    # words are counted once all places of a document are together; documents without any are not grouped
     merged = {c: F.flatten(F.collect_list(c)) for c in ("starts", "lengths", "items")}
-    both = joint.groupBy("key").agg(*[v.alias(c) for c, v in (first | merged).items()]).drop("key").withColumn("items", F.array_distinct("items"))
+    joint = reduce(DataFrame.unionByName, hits).groupBy("key").agg(*[v.alias(c) for c, v in merged.items()])
+    every = segments.select(F.inline(F.arrays_zip("keys", "row_ids", "ids", "n_words"))).toDF("key", "row_id", "doc_id", "n_words")
+    none = {"starts": "array<int>", "lengths": "array<int>", "items": "array<long>"}
+    both = every.join(joint, "key", "left").select("row_id", "doc_id", "n_words", *[F.array_distinct(F.coalesce(c, F.array().cast(t))).alias(c) if c == "items" else F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
