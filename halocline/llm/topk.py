@@ -17,6 +17,8 @@ SCALE = 256
 GROUPS = 4
 CANDIDATE_ROWS = 2048
 QUERY_ROWS = 1024
+#: Blocks of queries that a task holds beside its candidates, on average: 64 MB of 64 components each.
+HELD_BLOCKS = 128
 _BLOCK = "block long, ids array<long>, dims int, cells array<long>, energy array<double>"
 
 
@@ -84,12 +86,13 @@ def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every block of candidates beside every block of queries: a stated query set against all rows, in blocks.
 
     Blocks are dealt to a grid with a cell per shuffle partition. Candidates are copied once per column of the grid, queries once
-    per row, and the grid is as many times longer than wide as there are more candidates: both sides move about as much.
+    per row, and the grid is as many times longer than wide as there are more candidates: both sides move about as much. It is wider where
+    a column would have more than HELD_BLOCKS blocks of queries, which a task holds at once.
     """
     cells = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, m = max(1, queries.count()), max(1, candidates.count())
-    wide = min(cells, max(1, round((cells * n / m) ** 0.5)))
-    tall = -(-cells // wide)
+    wide = max(min(cells, max(1, round((cells * n / m) ** 0.5))), -(-n // HELD_BLOCKS))
+    tall = max(1, -(-cells // wide))
     line = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     q = queries.select(F.col("block").alias("qb"), F.pmod(F.xxhash64("block"), F.lit(wide)).cast("int").alias("col"), line(tall).alias("row"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"])
     c = candidates.select("*", F.pmod(F.xxhash64("block"), F.lit(tall)).cast("int").alias("row"), line(wide).alias("col"))

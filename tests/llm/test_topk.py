@@ -77,3 +77,19 @@ def test_cutoffs_save_products_on_skewed_vectors(skew, most):
 def test_negative_cutoffs_and_clashing_columns(spark):
     rows = [(i, [-1.0 - i / 10, -1.0] if i % 5 else [1.0, 1.0]) for i in range(12)]
     assert found(spark, rows) == brute(rows, lambda i: i % 5 == 0, 5)
+
+
+def test_cells_hold_a_bounded_number_of_query_blocks(spark, monkeypatch):
+    """The grid grows with the queries, so that no task hashes a fixed share of them."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 16)
+    monkeypatch.setattr(topk, "HELD_BLOCKS", 3)
+    rng = random.Random(11)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(240)]
+    asked = topk.integer_vectors(table(spark, rows).select("vec_id", "embedding"), topk.SCALE)
+    blocks, others = topk._packed(asked, 2), topk._packed(asked, 16)
+    pairs = topk._pairs(blocks, others)
+    assert pairs.select("qb", "block").distinct().count() == pairs.count() == blocks.count() * others.count()
+    held = pairs.select("row", "col", "qb").distinct().groupBy("row", "col").count().agg(F.max("count"), F.avg("count")).first()
+    assert held[0] <= 12 and held[1] <= 5
+    assert found(spark, rows) == brute(rows, lambda i: i % 5 == 0, 5)
