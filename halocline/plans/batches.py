@@ -11,6 +11,7 @@ from ..functions.dates import SPLIT_DEV
 from ..operators import batches, windows
 from ..session import scratch_dir
 from ..sources import packed
+from ..sources.packed_source import register_packed_days
 from . import adapters as A
 from .fields import _TILE_CTE
 from .registry import MONTHLY, PAIRS, query, r6, uniform_sql
@@ -22,14 +23,28 @@ _NY, _NX, _TILE, _CORE = 10, 24, 8, 4
 SELECT model, day, CAST(d.d AS INTEGER) AS d, i, j, round(CAST(CAST(v * (1 + d.d) AS FLOAT) AS DOUBLE), 4) AS mean, floor(v * 4) / 4 AS coarse FROM m, range(2) d(d) WHERE v IS NOT NULL""")
 def packed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly fields of two models on two levels, packed into a file a model and month and read back; coarse fits half precision."""
+    out = packed.read_packed_days(spark, _packed(spark, sf_dir), ["coarse", "mean"])
+    return out.select("model", "day", "d", "i", "j", r6(F.col("mean").cast("double"), 4).alias("mean"), F.col("coarse").cast("double").alias("coarse"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> str:
+    """Where the packed days have been written."""
     g = A.monthly_grid(spark, sf_dir)
     models = F.explode(F.array(F.struct(F.lit("heat").alias("model"), F.col("sst").alias("v")), F.struct(F.lit("salt").alias("model"), F.col("sss").alias("v")))).alias("m")
     cells = g.select("day", "i", "j", models).select("m.model", "day", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"), "i", "j", F.col("m.v").alias("v"))
     root = f"{scratch_dir(spark)}/packed-{uuid.uuid4().hex}"
     values = cells.withColumns({"mean": F.col("v") * (1 + F.col("d")), "coarse": F.floor(F.col("v") * 4) / 4})
     packed.write_packed_days(values, root, (2, _NY, _NX), {"mean": packed.SINGLE, "coarse": packed.HALF})
-    out = packed.read_packed_days(spark, root, ["coarse", "mean"])
-    return out.select("model", "day", "d", "i", "j", r6(F.col("mean").cast("double"), 4).alias("mean"), F.col("coarse").cast("double").alias("coarse"))
+    return root
+
+
+@query(f"""WITH {MONTHLY} SELECT day, i, j, round(CAST(CAST(sst * 2 AS FLOAT) AS DOUBLE), 4) AS mean FROM mg WHERE sst IS NOT NULL AND day >= DATE '1995-01-01'""")
+def packed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed days read as a data source, from which only the files of one model and of days from 1995 on, and one level, are asked for."""
+    register_packed_days(spark)
+    found = spark.read.format("packed_days").option("names", "mean").load(_packed(spark, sf_dir))
+    asked = found.where((F.col("model") == "heat") & (F.col("day") >= F.to_date(F.lit("1995-01-01"))) & (F.col("d") == 1))
+    return asked.select("day", "i", "j", r6(F.col("mean").cast("double"), 4).alias("mean"))
 
 
 # months as consecutive days, so that a window of days holds several

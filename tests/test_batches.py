@@ -5,10 +5,11 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from halocline.operators import batches
 from halocline.operators.windows import axis_plan
-from halocline.sources import packed
+from halocline.sources import packed, packed_source
 
 
 def test_slices_of_both_precisions():
@@ -39,6 +40,25 @@ def test_days_are_pruned_and_written_twice_alike(spark, tmp_path):
     assert half.count() == 6 and {r.v for r in packed.read_packed_days(spark, f"{root}-half", ["v"]).collect()} == {float(np.float16(0.1))}
 
 
+def test_data_source_prunes_files_and_levels(spark, tmp_path):
+    rows = [(m, date(2020, 1, k + 1), d, i, j, float(k + 10 * d + i + j)) for m in ("a", "b") for k in range(4) for d in range(3) for i in range(2) for j in range(2)]
+    root = f"file://{tmp_path}/days"
+    packed.write_packed_days(spark.createDataFrame(rows, "model string, day date, d int, i int, j int, v double"), root, (3, 2, 2), {"v": packed.SINGLE}).count()
+    packed_source.register_packed_days(spark)
+    df = spark.read.format("packed_days").option("names", "v").load(root)
+    assert sorted(map(tuple, df.collect())) == sorted(rows)
+    some = df.where("model = 'b' and day > '2020-01-02' and d in (0, 2) and i = 1")
+    assert sorted(map(tuple, some.collect())) == sorted(r for r in rows if r[0] == "b" and r[1] > date(2020, 1, 2) and r[2] != 1 and r[3] == 1)
+    assert some.rdd.getNumPartitions() == 2
+    reader = packed_source.PackedDaysReader(root, ["v"])
+    left = list(reader.pushFilters([EqualTo(("i",), 1), EqualTo(("model",), "b"), In(("d",), (0, 2)), GreaterThan(("day",), date(2020, 1, 2))]))
+    assert left == [EqualTo(("i",), 1)] and [(p.model, p.day.day) for p in reader.partitions()] == [("b", 3), ("b", 4)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2 * 2 * 4
+    assert spark.read.format("packed_days").option("names", "v").load(f"{root}-none").count() == 0
+    with pytest.raises(Exception, match="needs a path and names"):
+        spark.read.format("packed_days").load(root).schema
+
+
 def grid(spark, ny, nx, days):
     rng = np.random.default_rng(8)
     x = rng.random((days, ny, nx)).round(3)
