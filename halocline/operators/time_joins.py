@@ -98,6 +98,19 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, car
     return flat.select(*left.columns, *[F.when(tolerance, F.col(c)).alias(c) for c in ["right_time", *carry]])
 
 
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, carry: list[str], gap, partitions: int | None = None) -> DataFrame:
+    """left plus right_time and carry of the right row nearest in time with equal keys, the earlier of two equally near. No gap is too large.
+
+    gap(a, b): how far b is behind a, as a number. An as-of join in each direction; nulls as in asof_join.
+    """
+    before = asof_join(left, right, keys, time, carry, partitions=partitions)
+    named = [*left.columns, F.struct("right_time", *carry).alias("_before")]
+    both = asof_join(before.select(*named), right, keys, time, carry, forward=True, partitions=partitions)
+    back, on = F.col("_before.right_time"), F.col("right_time")
+    earlier = on.isNull() | (back.isNotNull() & (gap(back, F.col(time)) <= gap(F.col(time), on)))
+    return both.select(*left.columns, *[F.when(earlier, F.col(f"_before.`{c}`")).otherwise(F.col(c)).alias(c) for c in ("right_time", *carry)])
+
+
 def _width_class(width: Column) -> Column:
     """The smallest k with width < 2^k; widths are whole numbers from 0."""
     return F.when(width <= 0, F.lit(0)).otherwise(F.length(F.bin(width))).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sketches
-from ..operators.time_joins import asof_join, interval_join
+from ..operators.time_joins import asof_join, interval_join, nearest_in_time
 from ..session import written
 from . import adapters as A
 from .registry import query, r6
@@ -24,6 +24,18 @@ def last_view_before_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "view_id", (F.unix_micros("ts") - F.unix_micros("right_time")).alias("gap_us"))
 
 
+@query("""WITH c AS (SELECT * FROM events WHERE event_type = 'click'), v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error'),
+b AS (SELECT c.event_id, c.ts, v.event_id AS before_id, v.ts AS before FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts), a AS (SELECT c.event_id, v.event_id AS after_id, v.ts AS after FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts <= v.ts)
+SELECT event_id, CASE WHEN after IS NULL OR ts - before <= after - ts THEN before_id ELSE after_id END AS error_id, abs(epoch_us(ts) - epoch_us(CASE WHEN after IS NULL OR ts - before <= after - ts THEN before ELSE after END)) AS gap_us FROM b JOIN a USING (event_id)""")
+def nearest_error_of_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the error of its user that is nearest in time, before or after."""
+    e = A.events(spark, sf_dir)
+    clicks, errors = (e.where(F.col("event_type") == t).select("user_id", "ts", "event_id") for t in ("click", "error"))
+    gap = lambda a, b: F.unix_micros(b) - F.unix_micros(a)
+    found = nearest_in_time(clicks, errors.withColumnRenamed("event_id", "error_id"), ["user_id"], "ts", ["error_id"], gap)
+    return found.select("event_id", "error_id", F.abs(gap(F.col("right_time"), F.col("ts"))).alias("gap_us"))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS customer, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS t, o_totalprice AS price FROM orders)
 SELECT a.id, count(*) AS n, round(sum(b.price), 4) AS price FROM o a JOIN o b ON a.customer = b.customer AND b.t BETWEEN a.t AND a.t + (a.id % 97) * (a.id % 97) // 4 GROUP BY a.id""")
 def orders_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:

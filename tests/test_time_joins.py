@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators.time_joins import asof_join, interval_join
+from halocline.operators.time_joins import asof_join, interval_join, nearest_in_time
 
 
 def sides(seed):
@@ -53,3 +53,13 @@ def test_intervals_of_every_width(spark):
     free = sorted((r.id, r.pid) for r in interval_join(i.drop("k"), p.drop("k"), "s", "e", "at").collect())
     assert free == sorted((a, b) for a, _, s, e in spans for b, _, t in times if fits(s, e, t))
     assert interval_join(i.limit(0), p, "s", "e", "at", ["k"]).count() == 0
+
+
+def test_nearest_in_time_equals_a_search(spark):
+    left, right = sides(12)
+    l, r = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t int, v string")
+    got = {x.id: (x.right_time, x.v) for x in nearest_in_time(l, r, ["k"], "t", ["v"], lambda a, b: b - a, partitions=5).collect()}
+    for i, k, t in left:
+        own = [(abs(u - t), u, v) for kk, u, v in right if None not in (k, t, u) and kk == k]
+        near = min(own)[:2] if own else None
+        assert got[i] == ((near[1], max(v for _, u, v in own if u == near[1])) if near else (None, None))
