@@ -145,7 +145,29 @@ def _shared(rows: DataFrame) -> DataFrame:
     return written(only_rows(rows, F.col("key"), keys, "key"), "band-members")
 
 
-def near_copies(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """left (node, n, component) -> (a, b): all pairs of different components that may reach the similarity.
+
+    A prefix filter: with shingles in one order, the rarest first, two such texts share one of their first n - ceil(n * similarity) + 1. Pairs that share
+    one must be of sizes that allow the similarity, and have enough shingles left behind it.
+    """
+    p, q = SIMILARITY
+    nodes = written(left.select("node"), "prefix-nodes")
+    each = only_rows(sets, F.col("node"), nodes, "node").select("node", F.explode("grams").alias("gram"))
+    each = written(each, "prefix-grams")
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+    # a shingle that one text has links nothing, but stands first in its order
+    ordered = each.join(counts, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "gram"))).alias("order"))  # a text's shingles
+    length = F.size("order") - F.ceil(F.size("order") * p / q).cast("int") + 1
+    first = ordered.select("node", F.posexplode(F.slice("order", 1, length)).alias("at", "g")).where("g.m > 1").select("node", "at", F.col("g.gram").alias("gram"))
+    rows = written(first.join(left, "node").select("gram", "node", "n", "component", "at"), "prefixes")
+    a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "at")]) for side in "ab")
+    behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b") & (behind * (p + q) >= p * (F.col("n_a") + F.col("n_b")))
+    return written(a.join(b, "gram").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "prefix-pairs")
+
+
+def near_copies(docs: DataFrame, size: int = SHINGLE, exact: bool = False) -> DataFrame:
     """(doc_id, row, component): one row per row of docs (doc_id, text); row is row_key(doc_id, text).
 
     Texts of the same words (A-Z lower-cased, white space aside) are copies; so are all texts without words. Other texts link if
@@ -156,6 +178,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     follow, and each part proposes pairs in the same way. So the proposals of a text are bounded however large its group is:
     at most BANDS * (1 + NEXT) leaders and as many small buckets. Two texts are not proposed to each other if all the
     buckets they share are large, lead by others, and in several components; most such pairs are linked through a leader.
+
+    exact: no such pair is left out. Members of large buckets that are in several components to the end are joined by the rarest of their
+    shingles, which finds every pair that reaches the similarity; how many pairs are looked at then depends on how many texts
+    are alike a bit below it.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -182,4 +208,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     pairs, _ = _bucket_pairs(_shared(finer), components)
     links = links.unionByName(written(_verified(pairs, sets), "near-links"))
     components = written(connected_components(links), "near-components")
+    if exact:
+        now = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        rest = written(only_rows(now, F.col("key"), written(open_, "open-bands"), "key").select("node", "n", "component").distinct(), "open-texts")
+        links = written(links.unionByName(_verified(_prefix_pairs(rest, sets), sets)), "near-links")
+        components = written(connected_components(links), "near-components")
     return signed.join(components, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))

@@ -46,8 +46,8 @@ def brute_components(texts):
     return [find(x) for x in range(len(texts))]
 
 
-def found(spark, texts):
-    rows = {r.doc_id: r.component for r in near_copies(docs(spark, texts)).collect()}
+def found(spark, texts, **options):
+    rows = {r.doc_id: r.component for r in near_copies(docs(spark, texts), **options).collect()}
     first = {}
     for i in sorted(rows):
         first.setdefault(rows[i], i)
@@ -83,6 +83,7 @@ def test_many_texts_somewhat_alike(spark):
     texts = [" ".join(t) for t in texts]
     want = brute_components(texts)
     assert len(set(want)) == 120 and found(spark, texts) == want
+    assert found(spark, texts, exact=True) == want
 
 
 def test_one_dense_group(spark):
@@ -101,6 +102,7 @@ def test_one_dense_group(spark):
     assert all(want[x] == want[g] for x, g in enumerate(got))
     biggest = lambda c: Counter(c).most_common(1)[0][1]
     assert biggest(want) > 100 and biggest(got) >= 0.95 * biggest(want)
+    assert found(spark, texts, exact=True) == want
 
 
 def test_stage_drops_copies_that_differ_by_a_word(spark):
