@@ -34,7 +34,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Near copies have a Jaccard similarity of 0.8 or more over five-word shingles. Rows are told apart by id and text: rows that
     share an id, or have none, but differ in text are judged each.
     """
-    found = written(near_copies(docs.select("doc_id", "text")), "near-copies")
+    found = written(near_copies(docs.select("doc_id", "text"), exact=True), "near-copies")
     rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     first = written(found.groupBy("component").agg(F.min(rank).alias("first")).select("first.row"), "first-rows")
     again = written(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(first, "row", "left_semi").select("row"), "repeated-rows")
