@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEPT_WORDS, WordHashes, connected_components, key_bits, maybe_among, only_rows, rolling, row_key, short_batches, tidied, written
@@ -157,10 +157,11 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     each = written(each, "prefix-grams")
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
     # a shingle that one text has links nothing, but stands first in its order
-    ordered = each.join(counts, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "gram"))).alias("order"))  # a text's shingles
-    length = F.size("order") - F.ceil(F.size("order") * p / q).cast("int") + 1
-    first = ordered.select("node", F.posexplode(F.slice("order", 1, length)).alias("at", "g")).where("g.m > 1").select("node", "at", F.col("g.gram").alias("gram"))
-    rows = written(first.join(left, "node").select("gram", "node", "n", "component", "at"), "prefixes")
+    # sorted within a text by a window, which can spill
+    at = F.row_number().over(Window.partitionBy("node").orderBy("m", "gram")) - 1
+    length = F.col("n") - F.ceil(F.col("n") * p / q) + 1
+    ordered = each.join(counts, "gram").select("node", "gram", "m", at.alias("at")).join(left, "node")
+    rows = written(ordered.where((F.col("at") < length) & (F.col("m") > 1)).select("gram", "node", "n", "component", "at"), "prefixes")
     a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "at")]) for side in "ab")
     behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b") & (behind * (p + q) >= p * (F.col("n_a") + F.col("n_b")))
