@@ -30,6 +30,16 @@ def test_missing(spark):
     assert tuple(got) == (None, 1.0, 1.0, 1.0)
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 2, 0, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_exact_mean_does_not_depend_on_the_order(spark, order):
+    groups = {"a": [20.4, 20.9, 20.2], "b": [26.9, 25.7, 26.3, 27.1], "c": [0.1, 0.2, 0.3, -1e5], "d": [None], "e": [1e300, 1.0], "f": [float("nan"), 1.0], "g": [-7.0]}
+    rows = [(k, v[p]) for p in order for k, v in groups.items() if p < len(v)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(1)
+    got = {r.k: r.m for r in df.groupBy("k").agg(missing.exact_avg(F.col("v")).alias("m")).collect()}
+    assert {k: got[k] for k in "abcg"} == {k: math.fsum(groups[k]) / len(groups[k]) for k in "abcg"}
+    assert got["a"] == 20.5 and got["d"] is None and got["e"] == 5e299 and math.isnan(got["f"])
+
+
 def test_longitudes_and_bins(spark):
     assert one(spark, *[geo.wrap_lon(F.lit(float(x))) for x in (250.125, -181, 180, 0, 540)]) == (-109.875, 179.0, -180.0, 0.0, -180.0)
     assert one(spark, *[geo.right_closed_bin(F.lit(x), 0.0, 0.25) for x in (0.0, 0.05, 0.25, 0.3, 0.5)]) == (-1, 0, 0, 1, 1)
