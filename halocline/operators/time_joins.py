@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Widths are told apart by powers of two; a long has no more.
-CLASSES = 64
+#: Instants of a part of an interval join, and those that are looked at to find its bounds.
+PART_ROWS = 1_000_000
+PER_PART = 50
+#: Pairs that a task hands on at once.
+PAIRS = 1 << 16
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, carry: list[str], forward: bool = False, tolerance: Column | None = None, partitions: int | None = None) -> DataFrame:
@@ -111,28 +115,96 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: st
     return both.select(*left.columns, *[F.when(earlier, F.col(f"_before.`{c}`")).otherwise(F.col(c)).alias(c) for c in ("right_time", *carry)])
 
 
-def _width_class(width: Column) -> Column:
-    """The smallest k with width < 2^k; widths are whole numbers from 0."""
-    return F.when(width <= 0, F.lit(0)).otherwise(F.length(F.bin(width))).cast("int")
+def _place(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, after: bool) -> np.ndarray:
+    """Where each x belongs within values[lo:hi], which are sorted: before equal values, or after them."""
+    lo, hi = lo.copy(), hi.copy()
+    todo = np.flatnonzero(lo < hi)
+    while len(todo):
+        mid = (lo[todo] + hi[todo]) >> 1
+        right = values[mid] <= x[todo] if after else values[mid] < x[todo]
+        lo[todo[right]] = mid[right] + 1
+        hi[todo[~right]] = mid[~right]
+        todo = todo[lo[todo] < hi[todo]]
+    return lo
+
+
+def _bounds(points: DataFrame, total: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, times): at most parts - 1 places that cut the points into parts of about equal size, from some of them."""
+    some = points.select("_h", "_t").sample(min(1.0, PER_PART * parts / max(1, total)), seed=1).collect()  # PER_PART rows a part
+    rows = sorted((r[0], r[1]) for r in some)
+    cuts = sorted({rows[k * len(rows) // parts] for k in range(1, parts)}) if rows else []
+    return np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
 
 
 def interval_join(intervals: DataFrame, instants: DataFrame, start: str, end: str, at: str, keys: list[str] | None = None) -> DataFrame:
     """All pairs of an interval (start to end, both included) and an instant in it, with equal keys; columns of both sides.
 
-    start, end and at are whole numbers. Intervals of a width below 2^k lie in two buckets of that width at most, and are sent to them; an instant is sent to its own
-    bucket of each class of widths that occurs, of which there are 64 at most. So it is an equi-join on (keys, class, bucket), whose
-    candidates are at most four times the pairs where instants lie evenly, and whose hot buckets AQE divides. Intervals that end before they start, and nulls in
-    keys, bounds or instants, match nothing. Pairs occur once: of an interval's buckets an instant lies in one. Column names must differ
-    but for the keys, which are taken from the intervals.
+    start, end and at are whole numbers. The instants, ordered by a hash of the keys and by time, are cut into parts of about equal size (a sample finds
+    the cuts, which decide nothing but the balance). An instant is sent to its part, an interval to the parts that it reaches into: in all but the first and last
+    of them it holds every instant. So what is shuffled grows with the rows, and at most with the pairs, for intervals of any width and hot keys as well. A task holds
+    the instants of one part, sorted, and streams its intervals past them: those in an interval are neighbours, and no other pair is formed. Intervals
+    that end before they start, and nulls in keys, bounds or instants, match nothing. Instants equal in keys and time are in one part. Column
+    names must differ but for the keys, which are taken from the intervals.
     """
     keys = keys or []
-    i = intervals.where(F.col(start) <= F.col(end)).withColumn("_class", _width_class(F.col(end).cast("long") - F.col(start).cast("long")))
-    bucket = lambda c, k: F.call_function("shiftright", c.cast("long"), k)
-    ends = F.array(bucket(F.col(start), F.col("_class")), bucket(F.col(end), F.col("_class")))
-    i = i.withColumn("_bucket", F.explode(F.array_distinct(ends)))
-    classes = intervals.where(F.col(start) <= F.col(end)).select(_width_class(F.col(end).cast("long") - F.col(start).cast("long")).alias("c")).groupBy().agg(F.collect_set("c").alias("_classes"))  # one row, 64 entries at most
-    p = instants.where(F.col(at).isNotNull()).withColumnsRenamed({k: f"_p_{k}" for k in keys}).join(F.broadcast(classes)).withColumn("_pclass", F.explode("_classes")).withColumn("_pbucket", bucket(F.col(at), F.col("_pclass")))
-    on = (F.col("_class") == F.col("_pclass")) & (F.col("_bucket") == F.col("_pbucket")) & F.col(at).between(F.col(start), F.col(end))
+    spark = intervals.sparkSession
+    there = [F.col(k).isNotNull() for k in keys]
+    whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    long = lambda c: F.col(c).cast("long")
+    hashed = (F.xxhash64(*keys) if keys else F.lit(0).cast("long")).alias("_h")
+    points, spans = instants.where(F.col(at).isNotNull()), intervals.where(F.col(start) <= F.col(end))
+    for c in there:
+        points, spans = points.where(c), spans.where(c)
+    points = points.select(hashed, long(at).alias("_t"), whole(instants).alias("_p"))
+    spans = spans.select(hashed, long(start).alias("_t"), long(end).alias("_e"), whole(intervals).alias("_i"))
+    total = points.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+    hashes, times = _bounds(points, total, parts)
+
+    @F.pandas_udf("int")
+    def part(h: pd.Series, t: pd.Series) -> pd.Series:
+        h, t = h.to_numpy(np.int64), t.to_numpy(np.int64)
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+        return pd.Series(_place(times, lo, hi, t, True).astype(np.int32))
+
+    reach = F.sequence(part("_h", "_t"), part("_h", "_e"))
+    p = points.select(part("_h", "_t").alias("_part"), F.lit(0).alias("_kind"), "_h", "_t", F.lit(None).cast("long").alias("_e"), "_p", F.lit(None).cast(spans.schema["_i"].dataType).alias("_i"))
+    i = spans.select(F.explode(reach).alias("_part"), F.lit(1).alias("_kind"), "_h", "_t", "_e", F.lit(None).cast(points.schema["_p"].dataType).alias("_p"), "_i")
+    by_part = p.unionByName(i).repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "_kind", F.when(F.col("_kind") == 0, F.col("_h")), F.when(F.col("_kind") == 0, F.col("_t")))
+    numbers = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        h = t = own = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, kind = numbers(b, "_part"), numbers(b, "_kind")
+            begins = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (kind[1:] != kind[:-1])))
+            for a, z in zip(begins, np.append(begins[1:], b.num_rows), strict=True):
+                s = b.slice(a, z - a)
+                if of[a] != current:
+                    current, held, h = of[a], [], None
+                if not kind[a]:
+                    held.append(s.select(["_h", "_t", "_p"]))
+                    continue
+                if not held:
+                    continue
+                if h is None:
+                    h, t = (np.concatenate([numbers(x, c) for x in held]) for c in ("_h", "_t"))
+                    own = pa.concat_arrays([x.column("_p") for x in held])
+                key = numbers(s, "_h")
+                lo, hi = np.searchsorted(h, key), np.searchsorted(h, key, "right")
+                first, last = _place(t, lo, hi, numbers(s, "_t"), False), _place(t, lo, hi, numbers(s, "_e").astype(np.int64), True)
+                upto = np.cumsum(last - first)
+                for k in range(0, int(upto[-1]), PAIRS):
+                    pair = np.arange(k, min(k + PAIRS, int(upto[-1])))
+                    which = np.searchsorted(upto, pair, "right")
+                    point = last[which] - (upto[which] - pair)
+                    yield pa.RecordBatch.from_arrays([s.column("_i").take(pa.array(which)), own.take(pa.array(point))], names=["_i", "_p"])
+
+    pairs = by_part.select("_part", "_kind", "_h", "_t", "_e", "_p", "_i").mapInArrow(sweep, by_part.select("_i", "_p").schema)
     for k in keys:
-        on = on & (F.col(k) == F.col(f"_p_{k}"))
-    return i.join(p, on).select(*intervals.columns, *[c for c in instants.columns if c not in keys])
+        # equal hashes may belong to different keys
+        pairs = pairs.where(F.col(f"_i.`{k}`") == F.col(f"_p.`{k}`"))
+    return pairs.select(*[F.col(f"_i.`{c}`").alias(c) for c in intervals.columns], *[F.col(f"_p.`{c}`").alias(c) for c in instants.columns if c not in keys])

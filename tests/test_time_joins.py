@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from halocline.operators import time_joins
 from halocline.operators.time_joins import asof_join, interval_join, nearest_in_time
 
 
@@ -63,3 +64,27 @@ def test_nearest_in_time_equals_a_search(spark):
         own = [(abs(u - t), u, v) for kk, u, v in right if None not in (k, t, u) and kk == k]
         near = min(own)[:2] if own else None
         assert got[i] == ((near[1], max(v for _, u, v in own if u == near[1])) if near else (None, None))
+
+
+def test_intervals_over_many_parts(spark, monkeypatch):
+    """A hot key, in parts of a few instants, batches of a few rows and pairs handed on in pieces."""
+    monkeypatch.setattr(time_joins, "PART_ROWS", 20)
+    monkeypatch.setattr(time_joins, "PAIRS", 7)
+    rng = random.Random(3)
+    spans = [(k, rng.choice(["hot"] * 9 + ["b", "c"]), s, s + rng.choice([0, 5, 90, 400])) for k in range(200) for s in [rng.randrange(300)]]
+    times = [(k, rng.choice(["hot"] * 9 + ["b", "d"]), rng.choice([100, rng.randrange(300)])) for k in range(500)]
+    i, p = spark.createDataFrame(spans, "id int, k string, s int, e int"), spark.createDataFrame(times, "pid int, k string, at int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = sorted((r.id, r.pid) for r in interval_join(i, p, "s", "e", "at", ["k"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((a, b) for a, k, s, e in spans for b, kk, t in times if k == kk and s <= t <= e)
+
+
+def test_an_interval_join_sends_an_instant_once(spark):
+    """The rows that are exchanged don't grow with the classes of widths."""
+    i = spark.range(200).selectExpr("id", "id % 40 as k", "id as s", "id + shiftleft(1L, cast(id % 16 as int)) as e")
+    p = spark.range(20000).selectExpr("id as pid", "id % 40 as k", "id % 500 as at")
+    plan = interval_join(i, p, "s", "e", "at", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join" not in plan
