@@ -10,7 +10,7 @@ _EVERY = 32  # a sampled position for every so many set bits
 _U = np.uint64
 _ONES = _U(0x0101010101010101)
 _TOPS = _U(0x8080808080808080)
-_IN_BYTE = np.array([[next((p for p in range(8) if byte >> p & 1 and bin(byte & ((1 << p) - 1)).count("1") == r), 0) for r in range(8)] for byte in range(256)], np.uint64)
+_IN_BYTE = np.array([[next((p for p in range(8) if byte >> p & 1 and bin(byte & ((1 << p) - 1)).count("1") == r), 0) for r in range(8)] for byte in range(256)], np.uint64).ravel()
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -41,7 +41,19 @@ def select(words: np.ndarray, samples: np.ndarray, k: np.ndarray, flip: int = 0)
     r = left.astype(np.uint64)
     place = np.bitwise_count((((r * _ONES) | _TOPS) - sums) & _TOPS).astype(np.uint64) * _U(8)
     rest = r - (((sums << _U(8)) >> place) & _U(0xFF))
-    return at * 64 + (place + _IN_BYTE[((word >> place) & _U(0xFF)).astype(np.intp), rest.astype(np.intp)]).astype(np.int64)
+    return at * 64 + (place + _IN_BYTE[((((word >> place) & _U(0xFF)) << _U(3)) | rest).astype(np.intp)]).astype(np.int64)
+
+
+def following(words: np.ndarray, pos: np.ndarray, flip: int = 0) -> np.ndarray:
+    """Position of the first set bit after each position (-1: of the first of all); of the first zero if flip is all ones. It must exist."""
+    at = (pos + 1) >> 6
+    word = (words[at] ^ _U(flip)) & (~_U(0) << ((pos + 1) & 63).astype(np.uint64))
+    todo = np.flatnonzero(word == 0)
+    while len(todo):
+        at[todo] += 1
+        word[todo] = words[at[todo]] ^ _U(flip)
+        todo = todo[word[todo] == 0]
+    return at * 64 + np.bitwise_count((word & (~word + _U(1))) - _U(1)).astype(np.int64)
 
 
 def _samples(positions: np.ndarray) -> np.ndarray:
@@ -88,34 +100,42 @@ class EliasFano:
         high = (select(self.words, self.ones, i) - i).astype(np.uint64)
         return (high << _U(self.low)) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1; the second is the next set bit, which need not be searched."""
+        at = select(self.words, self.ones, i)
+        after = following(self.words, at)
+        one, two = (p - k for p, k in ((at, i), (after, i + 1)))
+        return (one.astype(np.uint64) << _U(self.low)) | self._low(i), (two.astype(np.uint64) << _U(self.low)) | self._low(i + 1)
+
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Index of each x, within [begin, end) if given, or -1: the successor among those that share its high bits."""
+        """Index of each x, within [begin, end) if given, or -1: among those that share its high bits; values are distinct."""
         out = np.full(len(x), -1, np.int64)
         high = (x >> _U(self.low)).astype(np.int64)
         ok = np.flatnonzero(high <= self.top) if self.n else np.empty(0, np.int64)
         if not len(ok):
             return out
         h = high[ok]
-        first = np.zeros(len(h), np.int64)
+        zero = np.full(len(h), -1, np.int64)
         later = np.flatnonzero(h > 0)
         ones = ~0 & 0xFFFFFFFFFFFFFFFF
-        first[later] = select(self.words, self.zeros, h[later] - 1, ones) - (h[later] - 1)
-        last = select(self.words, self.zeros, h, ones) - h
+        zero[later] = select(self.words, self.zeros, h[later] - 1, ones)
+        first = zero - h + 1
+        last = following(self.words, zero, ones) - h
         if begin is not None:
             first, last = np.maximum(first, begin[ok]), np.minimum(last, end[ok])
         want = x[ok] & _U((1 << self.low) - 1)
-        # binary search for the successor among the low bits of the bucket
-        lo, hi = first.copy(), last.copy()
-        todo = np.flatnonzero(lo < hi)
+        # binary search for the last value up to x among the low bits of the bucket; most buckets hold one
+        some = np.flatnonzero(first < last)
+        lo, hi, want = first[some], last[some], want[some]
+        todo = np.flatnonzero(hi - lo > 1)
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
-            less = self._low(mid) < want[todo]
-            lo[todo[less]] = mid[less] + 1
-            hi[todo[~less]] = mid[~less]
-            todo = todo[lo[todo] < hi[todo]]
-        inside = np.flatnonzero((lo < last) & (first < last))
-        hit = inside[self._low(lo[inside]) == want[inside]]
-        out[ok[hit]] = lo[hit]
+            upto = self._low(mid) <= want[todo]
+            lo[todo[upto]] = mid[upto]
+            hi[todo[~upto]] = mid[~upto]
+            todo = todo[hi[todo] - lo[todo] > 1]
+        hit = np.flatnonzero(self._low(lo) == want)
+        out[ok[some[hit]]] = lo[hit]
         return out
 
 
@@ -160,7 +180,7 @@ def search_level(arrays: dict[str, np.ndarray], name: str, parents: np.ndarray,
     run = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
     pointers = EliasFano(arrays, f"{name}.pointers")
     sizes = np.diff(np.append(run, len(parents)))
-    begin, end = (np.repeat(pointers.access(parents[run].astype(np.int64) + k).astype(np.int64), sizes) for k in (0, 1))
+    begin, end = (np.repeat(p.astype(np.int64), sizes) for p in pointers.access_two(parents[run].astype(np.int64)))
     return EliasFano(arrays, f"{name}.words").find(parents.astype(np.uint64) * _U(int(arrays[f"{name}.width"][0])) + words, begin, end)
 
 

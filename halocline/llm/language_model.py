@@ -110,7 +110,7 @@ def _get(path: str, name: str) -> dict[str, np.ndarray]:
         held = len(_opened) * (1 << 16) if local else sum(a.nbytes for x in _opened.values() for a in x.values())
         if held >= KEPT_BYTES:
             _opened.clear()
-        data = np.memmap(f"{root}/{name}", np.uint8, "r") if local else np.frombuffer(store.open_input_file(f"{root}/{name}").read_buffer(), np.uint8)
+        data = np.memmap(f"{root}/{name}", np.uint8, "r").view(np.ndarray) if local else np.frombuffer(store.open_input_file(f"{root}/{name}").read_buffer(), np.uint8)
         _opened[key] = from_buffer(data)
     return _opened[key]
 
@@ -152,7 +152,7 @@ def shard_of_hash(h: np.ndarray, shards: int) -> np.ndarray:
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places) of the shards that occur; places keep their order."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")  # 16 bits are sorted by radix
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     for own in np.split(order, cuts) if len(order) else []:
         yield int(shard[own[0]]), own
@@ -214,7 +214,7 @@ class LanguageModel:
         before = np.roll(ids, 1)
         before[starts] = -1
         after = np.flatnonzero(before >= 0)
-        best[after] += np.log10(self.backoff[bin_of(np.roll(counts, 1)[after])])
+        best[after] += np.log10(self.backoff)[bin_of(np.roll(counts, 1)[after])]
         known, keys, which = self.contexts(ids, starts)
         found = self.bigrams(keys)
         hit = found.at[which] >= 0

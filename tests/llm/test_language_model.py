@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from halocline.llm import language_model
+from halocline.llm import elias_fano, language_model
 from halocline.llm.elias_fano import EliasFano, build_trie, ef_encode, from_buffer, search_trie, to_bytes
 from halocline.llm.language_model import STEP, score_documents
 
@@ -182,3 +182,29 @@ def test_trie(spark):
     asked = [(a, b) for a in range(55) for b in range(60)]
     got = search_trie(trie, np.array([a << 32 | b for a, b in asked], np.uint64))
     assert got.tolist() == [where.get(p, -1) for p in asked]
+
+
+def test_a_search_selects_once(monkeypatch):
+    """The end of a bucket, and a pointer's successor, are the next bit after its beginning; results are those of a search."""
+    rng = np.random.default_rng(5)
+    calls = []
+    select = elias_fano.select
+    monkeypatch.setattr(elias_fano, "select", lambda *a: calls.append(1) or select(*a))
+    for values in (rng.choice(10**6, 3000, False), np.uint64(2**63) + rng.choice(5000, 3000, False).astype(np.uint64), np.arange(700), np.array([0]), np.array([2**40]), np.concatenate([np.arange(300), 10**9 + np.arange(300)])):
+        values = np.sort(values.astype(np.uint64))
+        e = EliasFano(ef_encode(values, "v"), "v")
+        asked = np.concatenate([values, values + np.uint64(1), np.arange(50, dtype=np.uint64)])
+        calls.clear()
+        got = e.find(asked)
+        assert len(calls) == 1
+        place = {int(v): k for k, v in enumerate(values)}
+        assert got.tolist() == [place.get(int(v), -1) for v in asked]
+        if len(values) > 1:
+            calls.clear()
+            one, two = e.access_two(np.arange(len(values) - 1))
+            assert len(calls) == 1 and (one == values[:-1]).all() and (two == values[1:]).all()
+
+
+def test_mapped_shards_are_plain_arrays(tmp_path):
+    name = language_model._put(str(tmp_path), {"a": np.arange(5)})
+    assert type(language_model._get(str(tmp_path), name)["a"]) is np.ndarray
