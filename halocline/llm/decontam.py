@@ -22,6 +22,8 @@ from .common import WordHashes, alnum_words_of, covered, row_key, short_batches,
 WINDOW = 10
 #: Windows sent to the executors at once (at most this many times WINDOW terms); more are searched block by block.
 BLOCK_WINDOWS = 200_000
+#: Segments of a row group of the written index: what a task holds when it writes and reads them, some 12 MB, however many it has.
+GROUP_SEGMENTS = 4
 SEGMENT = "row_ids array<long>, ids array<long>, n_words array<int>, base array<int>, terms array<long>, ends array<int>, positions array<int>, keys array<long>"
 
 
@@ -86,7 +88,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("_row"), F.col("text").cast("binary"), F.monotonically_increasing_id().alias("_key"))
-    return written(rows.mapInArrow(tidied(run), SEGMENT), "postings")
+    return written(rows.mapInArrow(tidied(run), SEGMENT), "postings", GROUP_SEGMENTS)
 
 
 class _Postings:

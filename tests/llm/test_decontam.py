@@ -1,6 +1,9 @@
 import random
 
-from halocline.llm import decontam
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from halocline.llm import common, decontam
 from halocline.llm.common import _ALNUM
 from halocline.llm.decontam import build_index, clean_documents, decontaminate, matches, search_index
 
@@ -98,3 +101,24 @@ def test_cleaning_keeps_all_columns_and_empty_tables(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert found(spark, [], [(1, "a b")], 10) == []
     assert found(spark, [(0, "a b")], [], 10) == [(0, 2, 0, "")]
+
+
+def test_a_task_holds_few_segments_at_once(spark, monkeypatch):
+    """Row groups of the index and batches of a search are bounded, however many segments a task has."""
+    texts = [f"{i} " + " ".join(f"w{(i * k) % 997}" for k in range(2000)) for i in range(120)]
+    rows, key = docs(spark, texts).coalesce(1), "spark.sql.execution.arrow.max{}PerBatch"
+    before = {k: spark.conf.getAll.get(k) for k in (key.format("Records"), key.format("Bytes"))}
+    spark.conf.set(key.format("Records"), "4")
+    spark.conf.unset(key.format("Bytes"))
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 17)
+    try:
+        index = build_index(rows)
+        groups = [pq.ParquetFile("/" + f.removeprefix("file:").lstrip("/")).metadata for f in index.inputFiles()]
+        sizes = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+        assert sum(sizes) == 30 and max(sizes) <= decontam.GROUP_SEGMENTS
+        seen = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows] * b.num_rows, pa.int32())], names=["n"]) for b in batches)
+        spark.conf.set(key.format("Records"), "1000")
+        assert max(r.n for r in index.coalesce(1).mapInArrow(seen, "n int").collect()) < 10
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
