@@ -1,7 +1,11 @@
 import random
+from pathlib import Path
+
+import pyarrow.parquet as pq
 
 import corpus_pipeline
-from halocline.llm.common import written
+from halocline.llm.common import shared_dir, written
+from halocline.llm.decontam import GROUP_SEGMENTS
 
 from .helpers import EXTRA, SCHEMA, docs
 from .test_decontam import brute as brute_decontam
@@ -109,3 +113,20 @@ def test_repeated_and_null_ids_and_clashing_columns_against_brute_force(spark, t
                 best[words] = min(best.get(words, (True, 0)), (i is None, i or 0))
             assert sorted((r.doc_id is None, r.doc_id or 0, " ".join(r.text.lower().split())) for r in now.collect()) == sorted((n, i, w) for w, (n, i) in best.items())
     assert all(r.taken > 0 for r in now.collect())
+
+
+def test_decontamination_reads_and_writes_its_index_in_small_row_groups(spark, tmp_path):
+    """What a task holds of the index does not grow with the documents of a task."""
+    path, key = f"file://{tmp_path}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    shared = Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    had, before = set(shared.glob("postings-*")), spark.conf.getAll.get(key)
+    spark.conf.set(key, "4")
+    try:
+        kept = corpus_pipeline.benchmark_decontamination(spark, docs(spark, [f"text {k}" for k in range(80)] + [ITEM]).coalesce(1), path)
+        assert kept.count() == 80
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    (index,) = set(shared.glob("postings-*")) - had
+    groups = [m.row_group(k).num_rows for m in (pq.ParquetFile(f).metadata for f in index.glob("*.parquet")) for k in range(m.num_row_groups)]
+    assert sum(groups) == 21 and max(groups) <= GROUP_SEGMENTS
